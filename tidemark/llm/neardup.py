@@ -7,12 +7,11 @@ The earliest point of each of `slots` slots is the signature, so two signatures
 with the weighted Jaccard similarity. Points are drawn in time order up to a horizon that fills
 all slots nearly always; a text with an empty slot is drawn again with twice the horizon.
 
-Texts that agree in a band are members of a bucket. A round compares the members of each bucket
-with leaders of it, and drops members that need no more comparisons: no pairs within a bucket
-are made. By the triangle inequality of the distance 1 - similarity, a member linked to its
-leader at distance a needs more only if an unlinked member at distance b <= a + (1 - threshold)
-is left. Rounds end when no bucket has an unlinked member beside another member, so that no
-link between texts that share a bucket is missed for the classes.
+Texts that agree in a band are members of a bucket. Each member is compared with the smallest
+member, which makes no pairs within a bucket, and the links found join members to components.
+For buckets in which several components are left, an exact prefix join finds the links that are
+missing: two multisets can only overlap by o if their elements up to rank size - o + 1, rarest
+first, have one in common. So the classes miss no link between texts that share a bucket.
 """
 
 from __future__ import annotations
@@ -181,39 +180,19 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     nodes = profile.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     keys = nodes.select("node", F.explode("bands").alias("k"))
     heads = keys.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    # flag 0: not linked to a leader of its bucket yet; 1: linked, at distance a
-    active = cut(keys.join(heads, "k").select("k", "node", "leader", F.lit(0).alias("flag")), "buckets")
-    near = active.select("node").distinct()
+    buckets = cut(keys.join(heads, "k").select("k", "node", "leader"), "buckets")
     digest = profile.select("id", "node")
     # the texts of members, one row for each
-    named = digest.join(near, "node").groupBy("node").agg(F.min("id").alias("id"))
+    named = digest.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
     text_of = _texts_of(docs, named)
-    tested, links, most = None, None, 1
-    while not active.isEmpty():
-        pairs = active.filter("node != leader").select("node", "leader").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested.select("node", "leader"), ["node", "leader"], "left_anti")
-        fresh = cut(similarities(pairs, text_of, shingle), "tested")
-        tested = fresh if tested is None else tested.unionByName(fresh)
-        links = tested.filter(F.col("sim") >= threshold)
-        seen = active.filter("node != leader").join(tested, ["node", "leader"])
-        # by member of a bucket: nearest leader so far; leaders themselves are done
-        state = seen.groupBy("k", "node").agg(F.min("flag").alias("flag"), F.max("sim").alias("sim"))
-        state = state.join(active.filter("node = leader").select("k", "node").distinct(), ["k", "node"], "left_anti")
-        state = state.withColumn("flag", F.when(F.col("sim") >= threshold, 1).otherwise(F.col("flag")))
-        bucket = state.groupBy("k").agg(F.max(F.when(F.col("flag") == 0, F.col("sim"))).alias("rest"), F.count("*").alias("n"))
-        bucket = bucket.filter("n > 1 and rest is not null")
-        left = state.join(bucket, "k").filter((F.col("flag") == 0) | (F.col("rest") >= F.col("sim") - (1 - threshold) - 1e-9))
-        lone = left.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1").drop("m")
-        left = cut(left.join(lone, "k", "left_semi").select("k", "node", "flag"), "left")
-        most *= 2
-        order = Window.partitionBy("k").orderBy("node")
-        chosen = left.filter("flag = 0").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("k", F.col("node").alias("leader"))
-        active = cut(left.join(chosen, "k").select("k", "node", "leader", "flag"), "buckets")
-    if links is None:
-        label = digest.select("node").distinct().withColumn("class", F.col("node"))
-    else:
-        label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b"))).withColumnRenamed("label", "class")
+    pairs = buckets.filter("node != leader").select("node", "leader").distinct()
+    links = cut(similarities(pairs, text_of, shingle).filter(F.col("sim") >= threshold).select("node", "leader"), "links")
+    label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    missed = similarities(_unlinked(buckets, label, text_of, threshold, shingle), text_of, shingle).filter(F.col("sim") >= threshold).select("node", "leader")
+    missed = cut(missed, "links")
+    if not missed.isEmpty():
+        label = components(links.unionByName(missed).select(F.col("node").alias("a"), F.col("leader").alias("b")))
+    label = label.withColumnRenamed("label", "class")
     rows_ = profile.select("id", "node", "n_words")
     first = rows_.filter("node is not null").groupBy("node").agg(F.min("id").alias("lowest"))
     first = first.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
@@ -223,6 +202,41 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
+def _unlinked(buckets: DataFrame, label: DataFrame, text_of: DataFrame, threshold: float, shingle: int) -> DataFrame:
+    """Pairs (node, leader) of different components that may be similar enough, of the texts of
+    buckets with more than one component; one of them is outside the largest component of one."""
+    rows = buckets.select("k", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    parts = rows.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
+    rows = rows.join(parts.filter("parts > 1"), "k")
+    nodes = cut(rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("minor")), "contested")
+    elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long"), "elements")
+    df = elements.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    # an element of one text only comes first in it, and matches nothing
+    ranked = elements.join(df, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
+    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
+    x = prefix.filter("minor").select("e", "node", "label", "n", "r")
+    y = prefix.select("e", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
+    found = x.join(y, (x.e == y.e) & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1))
+    return found.select(F.greatest("node", "node2").alias("node"), F.least("node", "node2").alias("leader")).distinct()
+
+
+def _elements(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            node, label, minor = (b.column(x) for x in ("node", "label", "minor"))
+            for i, j, w in chunks(b.column("text")):
+                d, s, c = shingles(w, shingle)
+                n = np.bincount(d, c, j - i).astype(np.int32)
+                nth = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                e = pair(np.repeat(s, c), nth.astype(U))
+                d = np.repeat(d, c)
+                at = pa.array(d + i)
+                yield pa.RecordBatch.from_arrays([node.take(at), label.take(at), minor.take(at), pa.array(n[d]), pa.array(e.view(np.int64))], ["node", "label", "minor", "n", "e"])
+
+    return run
+
+
 def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
