@@ -186,9 +186,10 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     named = digest.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
     text_of = _texts_of(docs, named)
     pairs = buckets.filter("node != leader").select("node", "leader").distinct()
-    links = cut(similarities(pairs, text_of, shingle).filter(F.col("sim") >= threshold).select("node", "leader"), "links")
+    tested = cut(similarities(pairs, text_of, shingle), "tested")
+    links = tested.filter(F.col("sim") >= threshold).select("node", "leader")
     label = components(links.select(F.col("node").alias("a"), F.col("leader").alias("b")))
-    missed = similarities(_unlinked(buckets, label, text_of, threshold, shingle), text_of, shingle).filter(F.col("sim") >= threshold).select("node", "leader")
+    missed = similarities(_unlinked(buckets, label, tested, text_of, threshold, shingle), text_of, shingle).filter(F.col("sim") >= threshold).select("node", "leader")
     missed = cut(missed, "links")
     if not missed.isEmpty():
         label = components(links.unionByName(missed).select(F.col("node").alias("a"), F.col("leader").alias("b")))
@@ -202,22 +203,29 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
 
 
-def _unlinked(buckets: DataFrame, label: DataFrame, text_of: DataFrame, threshold: float, shingle: int) -> DataFrame:
+def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of: DataFrame, threshold: float, shingle: int) -> DataFrame:
     """Pairs (node, leader) of different components that may be similar enough, of the texts of
-    buckets with more than one component; one of them is outside the largest component of one."""
+    buckets with more than one component; one of them is outside the largest component of one.
+
+    Texts compared with the same leader at distances that differ by more than 1 - threshold cannot
+    be linked, as 1 - similarity is a metric."""
     rows = buckets.select("k", "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
     parts = rows.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
     rows = rows.join(parts.filter("parts > 1"), "k")
-    nodes = cut(rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("minor")), "contested")
+    nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("minor"))
+    base = tested.groupBy("node").agg(F.min(F.struct("leader", "sim")).alias("base"))
+    nodes = nodes.join(base, "node", "left").select("node", "label", "minor", F.coalesce("base.leader", "node").alias("base"), F.coalesce("base.sim", F.lit(1.0)).alias("sim"))
+    nodes = cut(nodes, "contested")
     elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long"), "elements")
     df = elements.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
     # an element of one text only comes first in it, and matches nothing
     ranked = elements.join(df, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
-    x = prefix.filter("minor").select("e", "node", "label", "n", "r")
-    y = prefix.select("e", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("r").alias("r2"))
+    prefix = prefix.join(nodes.select("node", "base", "sim"), "node")
+    x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim")
+    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "r", "base", "sim")])
     least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
-    found = x.join(y, (x.e == y.e) & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1))
+    found = x.join(y, (x.e == y.e) & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)))
     return found.select(F.greatest("node", "node2").alias("node"), F.least("node", "node2").alias("leader")).distinct()
 
 
