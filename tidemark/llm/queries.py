@@ -5,17 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bytecnn import fit_quality, score_quality
+from .decontaminate import find_leaks
 from .hostrules import host_rules
 from .licenses import CUE, TEMPLATES, scan_licenses
 from .mixing import mix_by_weight
 from .neardup import near_duplicates
+from .ngrams import fold, score, train
 from .substrings import remove_repeated_windows
+from .tokencounts import load_pieces, token_counts
+from .warczip import through_archives
+
+#: A public vocabulary; the file stays where it is.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_ids (benchmark items that the text holds), share (most of an item that is
+    covered), refilled (slots filled anew), leaked."""
+    out = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), F.array_sort("leaks.item_id").alias("item_ids"), F.array_max("leaks.share").alias("share"), F.array_max("leaks.refilled").alias("refilled"), (F.size("leaks") > 0).alias("leaked"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path (source/lang/doc_id.txt), own_license, own_score, license_dir, license."""
     docs = table(spark, sf_dir, "documents")
@@ -42,18 +57,51 @@ def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("row.doc_id").alias("doc_id"), "rule.*", "base_failed", "kept")
 
 
+def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset."""
+    out = through_archives(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_trie_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_tokens."""
+    out = token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), load_pieces(PIECES), carry=["doc_id"])
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_tokens")
+
+
 def op8_substring_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256."""
     out = remove_repeated_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 35)
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
 
 
+def op9_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    network = fit_quality(docs.filter(fold() != 0), table(spark, sf_dir, "labels"))
+    out = score_quality(docs, network, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "score")
+    return out.select("doc_id", (fold() == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs.filter(fold() != 1))
+    out = score(docs, model, carry=["doc_id"]).select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "n_known", "base_score", "score")
+    return out.select("doc_id", (fold() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES = {
+    "op1_template_decontamination": op1_template_decontamination,
     "op2_license_scan": op2_license_scan,
     "op4_flow_mix": op4_flow_mix,
     "op5_host_rules": op5_host_rules,
     "op3_bagminhash": op3_bagminhash,
+    "op6_warc_zip": op6_warc_zip,
+    "op7_trie_tokens": op7_trie_tokens,
     "op8_substring_doubling": op8_substring_doubling,
+    "op9_byte_cnn": op9_byte_cnn,
+    "op10_kneser_ney": op10_kneser_ney,
 }
 
 _TEMPLATES = ", ".join(f"({i}, '{k}', '{t}')" for i, (k, t) in enumerate(TEMPLATES))

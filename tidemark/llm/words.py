@@ -156,3 +156,12 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Tab
             held.append(t)
     if held:
         yield pa.concat_tables(held).combine_chunks()
+
+
+def each_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """One table for each key of batches sorted by it."""
+    for t in whole_groups(batches, key):
+        k = t.column(key).to_numpy()
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        for a, b in zip(first, np.append(first[1:], len(k)), strict=True):
+            yield t.slice(a, b - a)
