@@ -217,11 +217,13 @@ def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of:
     nodes = nodes.join(base, "node", "left").select("node", "label", "minor", F.coalesce("base.leader", "node").alias("base"), F.coalesce("base.sim", F.lit(1.0)).alias("sim"))
     nodes = cut(nodes, "contested")
     elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long"), "elements")
-    df = elements.groupBy("e").agg(F.count("*").alias("df")).filter("df > 1")
+    df = elements.groupBy("e").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("at")).filter("df > 1")
+    # of elements that stand in the same texts the first is enough: the first that two texts share is such
+    df = df.withColumn("first", F.col("e") == F.min("e").over(Window.partitionBy("df", "at"))).drop("at")
     # an element of one text only comes first in it, and matches nothing
     ranked = elements.join(df, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
-    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("df").isNotNull())
-    prefix = prefix.join(nodes.select("node", "base", "sim"), "node")
+    prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("first"))
+    prefix = cut(prefix.join(nodes.select("node", "base", "sim"), "node").select("e", "node", "label", "minor", "n", "r", "base", "sim"), "prefix")
     x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim")
     y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "r", "base", "sim")])
     least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
