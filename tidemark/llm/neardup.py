@@ -225,9 +225,11 @@ def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of:
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("first"))
     prefix = cut(prefix.join(nodes.select("node", "base", "sim"), "node").select("e", "node", "label", "minor", "n", "r", "base", "sim"), "prefix")
     x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim")
-    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "r", "base", "sim")])
+    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "minor", "n", "r", "base", "sim")])
     least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
-    found = x.join(y, (x.e == y.e) & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)))
+    # two minor texts meet once, not once from either side
+    once = ~F.col("minor2") | (F.col("node") < F.col("node2"))
+    found = x.join(y, (x.e == y.e) & once & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)))
     return found.select(F.greatest("node", "node2").alias("node"), F.least("node", "node2").alias("leader")).distinct()
 
 
