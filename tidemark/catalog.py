@@ -1,10 +1,451 @@
-"""Registered queries over the driver tables and their SQL."""
+"""Registered queries over the driver tables and their SQL.
+
+The change log comes from `events` (one key for each user, errors delete, props is the value);
+telemetry takes events.value as a latency and user_id mod 3 as the node.
+"""
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .functions import scalars as S
+from .functions.checksums import crc32c, crc64, record_hash, splitmix64
+from .operators import changelog, kv, maintenance, telemetry
+from .plans.decisions import handshake
+from .sources.files import parse_commands
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+BASE = """WITH m AS (SELECT event_id + 1 AS lsn, CASE WHEN event_type = 'error' THEN 2 ELSE 1 END AS op, 'user:' || lpad(user_id::VARCHAR, 8, '0') AS key,
+ CASE WHEN event_type <> 'error' THEN props END AS value FROM events),
+n AS (SELECT key, lsn, op, value FROM m QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1),
+live AS (SELECT key, value FROM n WHERE op = 1),
+ns AS (SELECT event_id, event_type, user_id, 'n' || (user_id % 3) AS node, floor(value * 1000)::BIGINT AS ns, value, epoch_ms(ts)::BIGINT AS t_ms FROM events),
+runs AS (SELECT source_rank, key, op, value, lsn, 4 - source_rank AS id, CASE WHEN source_rank < 3 THEN 0 ELSE 1 END AS level FROM (SELECT m.*, 3 - least(3, (lsn - 1) * 4 // (SELECT max(lsn) FROM m)) AS source_rank FROM m)
+ QUALIFY row_number() OVER (PARTITION BY source_rank, key ORDER BY lsn DESC) = 1),
+part AS (SELECT id, level, count(*) AS entry_count, min(key) AS min_key, max(key) AS max_key FROM
+ (SELECT 10 + (lsn - 1) // 500 AS id, CASE WHEN (lsn - 1) // 500 % 3 = 0 THEN 0 ELSE 1 END AS level, 'k' || lpad((lsn * 7 % 1000)::VARCHAR, 8, '0') AS key FROM m WHERE lsn <= 5000) GROUP BY ALL),
+prog AS (SELECT 'r' || (user_id % 5) AS node_id, max(event_id + 1) - 3 * (user_id % 5) AS applied_lsn, user_id % 5 <> 4 AS connected FROM events GROUP BY user_id % 5),
+bench AS (SELECT l_returnflag AS mix, l_linestatus AS build, l_quantity AS q FROM lineitem)
+"""
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = BASE + sql
+        return f
+
+    return add
+
+
+def log(spark, d) -> DataFrame:
+    return changelog.from_events(table(spark, d, "events"))
+
+
+def samples(spark, d) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.select("event_id", "event_type", "user_id", F.concat(F.lit("n"), (F.col("user_id") % 3).cast("string")).alias("node"), F.floor(F.col("value") * 1000).cast("long").alias("ns"), "value", F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"))
+
+
+def runs(spark, d) -> DataFrame:
+    """Four sorted runs of quarters of the log, the newest of rank 0."""
+    m = log(spark, d)
+    last = m.agg(F.max("lsn").alias("last"))
+    rank = (3 - F.least(F.lit(3), F.floor((F.col("lsn") - 1) * 4 / F.col("last")))).cast("long")
+    m = m.join(F.broadcast(last)).withColumn("source_rank", rank)
+    m = m.groupBy("source_rank", "key").agg(F.max_by(F.struct("lsn", "op", "value"), "lsn").alias("v")).select("source_rank", "key", "v.*")
+    return m.withColumn("id", 4 - F.col("source_rank")).withColumn("level", F.when(F.col("source_rank") < 3, 0).otherwise(1))
+
+
+def run_tables(spark, d) -> DataFrame:
+    m = log(spark, d).filter("lsn <= 5000")
+    id_ = F.floor((F.col("lsn") - 1) / 500)
+    return maintenance.run_tables(m.select((id_ + 10).alias("id"), F.when(id_ % 3 == 0, 0).otherwise(1).alias("level"), S.key_text("k", F.col("lsn") * 7 % 1000).alias("key")))
+
+
+def progress(spark, d) -> DataFrame:
+    r = (F.col("user_id") % 5).alias("r")
+    e = table(spark, d, "events").groupBy(r).agg((F.max("event_id") + 1).alias("top"))
+    return e.select(F.concat(F.lit("r"), F.col("r").cast("string")).alias("node_id"), (F.col("top") - 3 * F.col("r")).alias("applied_lsn"), (F.col("r") != 4).alias("connected"))
+
+
+# reads
+
+
+@query("SELECT key, value FROM live")
+def latest_state(spark, d):
+    return kv.live(log(spark, d))
+
+
+@query("SELECT key, op, value FROM n")
+def newest_versions(spark, d):
+    return kv.newest(log(spark, d))
+
+
+@query("SELECT key, value FROM live WHERE key = 'user:00000007'")
+def get_point(spark, d):
+    return kv.get(log(spark, d), "user:00000007")
+
+
+@query("SELECT a.key, live.key IS NOT NULL AS found FROM (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 8, '0') AS key FROM customer) a LEFT JOIN live ON a.key = live.key")
+def exists_batch(spark, d):
+    asked = table(spark, d, "customer").select(S.key_text("user:", F.col("c_custkey")).alias("key"))
+    return kv.exists(log(spark, d), asked)
+
+
+@query("SELECT key, value FROM live WHERE key >= 'user:00000010' AND key < 'user:00000050'")
+def scan_range(spark, d):
+    return kv.live(log(spark, d)).filter(kv.in_range(F.col("key"), "user:00000010", "user:00000050"))
+
+
+@query("SELECT key, value, (SELECT count(*) FROM live WHERE key >= 'user:00000010') > 13 AS more FROM live WHERE key >= 'user:00000010' ORDER BY key LIMIT 13")
+def scan_page_more(spark, d):
+    return kv.scan_page(kv.live(log(spark, d)), start="user:00000010", limit=13)
+
+
+@query("SELECT key, value, s.n > 13 AS more FROM live, (SELECT count(*) AS n FROM live WHERE key > 'user:00000030') s WHERE key > 'user:00000030' ORDER BY key LIMIT 13")
+def keyset_page_2(spark, d):
+    return kv.scan_page(kv.live(log(spark, d)), limit=13, after="user:00000030")
+
+
+@query(""", c AS (SELECT key, value, 5 + sum(8 + strlen(key) + strlen(value)) OVER (ORDER BY key) AS s FROM (SELECT * FROM live ORDER BY key LIMIT 100))
+SELECT key, value, (SELECT count(*) FROM live) > 100 OR (SELECT max(s) FROM c) > 2000 AS more FROM c WHERE s <= 2000""")
+def scan_page_bytes_cut(spark, d):
+    return kv.cut_page(kv.scan_page(kv.live(log(spark, d)), limit=100), 2000)
+
+
+@query("SELECT count(*) AS keys FROM live")
+def key_count(spark, d):
+    return kv.live(log(spark, d)).agg(F.count("*").alias("keys"))
+
+
+@query("SELECT sum(c)::BIGINT AS upper_bound FROM (SELECT count(*) AS c FROM runs GROUP BY id)")
+def key_count_upper_bound(spark, d):
+    return maintenance.approximate_keys(maintenance.run_tables(runs(spark, d)))
+
+
+@query("SELECT key, arg_min(op, source_rank) AS op, first(value ORDER BY source_rank) AS value FROM runs GROUP BY key")
+def merge_runs(spark, d):
+    return kv.merge_runs(runs(spark, d))
+
+
+@query("SELECT key, value FROM live")
+def compaction_output(spark, d):
+    return kv.compact(runs(spark, d))
+
+
+@query(""", p AS (SELECT key, op, value FROM (SELECT lsn, 'user:' || lpad((c_custkey % 60)::VARCHAR, 8, '0') AS key, CASE WHEN c_custkey % 4 = 0 THEN 2 ELSE 1 END AS op, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS value
+ FROM (SELECT c_custkey, c_name, c_custkey AS lsn FROM customer WHERE c_custkey <= 64)) QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1)
+SELECT coalesce(p.key, live.key) AS key, CASE WHEN p.key IS NOT NULL THEN p.value ELSE live.value END AS value FROM live FULL JOIN p ON live.key = p.key WHERE p.op IS NULL OR p.op = 1""")
+def overlay_read(spark, d):
+    c = table(spark, d, "customer").filter("c_custkey <= 64")
+    gone = F.col("c_custkey") % 4 == 0
+    pending = c.select(F.col("c_custkey").alias("lsn"), F.when(gone, 2).otherwise(1).alias("op"), S.key_text("user:", F.col("c_custkey") % 60).alias("key"), F.when(~gone, F.col("c_name")).alias("value"))
+    return kv.overlay(kv.live(log(spark, d)), pending)
+
+
+@query(", s AS (SELECT * FROM m WHERE lsn <= 950 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1) SELECT key, value FROM s WHERE op = 1")
+def snapshot_state(spark, d):
+    return kv.state_at(log(spark, d), 950)
+
+
+@query("SELECT key, value FROM live")
+def snapshot_plus_tail(spark, d):
+    m = log(spark, d)
+    return kv.replay(kv.state_at(m, 950), 950, m)
+
+
+@query("SELECT key, count(*) AS n FROM m GROUP BY key HAVING count(*) > 1")
+def duplicate_keys(spark, d):
+    return kv.duplicate_keys(log(spark, d))
+
+
+@query("SELECT 0::BIGINT AS differing, true AS equal")
+def relation_equal(spark, d):
+    return kv.same_relation(latest_state(spark, d), compaction_output(spark, d))
+
+
+# change log
+
+
+@query("SELECT lsn, op, key, value FROM m WHERE lsn > 500 ORDER BY lsn LIMIT 64")
+def changelog_slice(spark, d):
+    return changelog.slice_after(log(spark, d), 500)
+
+
+@query("SELECT before AS after_lsn, lsn AS next_lsn FROM (SELECT lsn, coalesce(lag(lsn) OVER (ORDER BY lsn), 0) AS before FROM m WHERE lsn % 97 <> 0) WHERE lsn > before + 1")
+def lsn_gap_check(spark, d):
+    return changelog.gaps(log(spark, d).filter("lsn % 97 <> 0"), step=1000)
+
+
+@query("SELECT (lsn - 1) // 64 AS group_id, min(lsn) AS first_lsn, max(lsn) AS last_lsn, count(*) AS count, max(lsn) - min(lsn) + 1 = count(*) AND count(*) BETWEEN 1 AND 64 AS whole FROM m WHERE lsn % 1001 <> 7 GROUP BY 1")
+def group_footers(spark, d):
+    return changelog.footers(log(spark, d).filter("lsn % 1001 <> 7"))
+
+
+@query("SELECT lsn, op, key FROM m WHERE lsn <= (SELECT max(lsn) FROM m WHERE lsn % 64 = 0)")
+def committed_prefix(spark, d):
+    return changelog.committed_prefix(log(spark, d).withColumn("closed", F.col("lsn") % 64 == 0)).select("lsn", "op", "key")
+
+
+@query(", h AS (SELECT lsn, md5(key || lsn) AS h FROM m) SELECT a.lsn FROM h a JOIN h b ON b.lsn = a.lsn - 1 WHERE a.lsn % 250 = 0")
+def chain_breaks(spark, d):
+    """Every 250th link is broken on purpose."""
+    h = log(spark, d).select("lsn", F.conv(F.substring(F.md5(F.concat("key", F.col("lsn").cast("string"))), 1, 15), 16, 10).cast("long").alias("record_hash"))
+    before = h.select((F.col("lsn") + 1).alias("lsn"), F.col("record_hash").alias("prev_hash"))
+    chain = h.join(before, "lsn", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(0)) + F.when(F.col("lsn") % 250 == 0, 1).otherwise(0))
+    return changelog.broken_links(chain).select("lsn")
+
+
+@query()
+def greedy_packing(spark, d):
+    m = log(spark, d)
+    jobs = m.select((F.col("lsn") % 4).alias("writer"), F.col("lsn").alias("job"), (F.col("lsn") % 30 + 1).alias("records"), (S.encoded_length(F.col("key"), F.col("value")) * 40_000).cast("long").alias("bytes"))
+    return changelog.pack(jobs)
+
+
+@query()
+def record_hashes(spark, d):
+    m = log(spark, d)
+    key, value = F.col("key").cast("binary"), F.col("value").cast("binary")
+    return m.select("lsn", crc32c(key).alias("key_crc32c"), F.hex(crc64(key)).alias("key_crc64"), F.hex(record_hash(F.col("lsn"), F.col("op"), key, value, F.lit(0))).alias("record_hash"))
+
+
+@query()
+def splitmix_keys(spark, d):
+    return log(spark, d).select("lsn", splitmix64(F.lit(42).cast("long"), F.col("lsn")).alias("x"))
+
+
+# tables, replicas, retention
+
+
+@query("SELECT id, level, entry_count, min_key, max_key FROM part")
+def manifest_tables(spark, d):
+    return run_tables(spark, d)
+
+
+@query("SELECT p.id FROM part p, (SELECT min(min_key) AS lo, max(max_key) AS hi FROM part WHERE level = 0) s WHERE level = 1 AND max_key >= lo AND min_key <= hi")
+def level_overlap(spark, d):
+    return maintenance.level_inputs(run_tables(spark, d)).select("id")
+
+
+@query("SELECT id, before FROM (SELECT id, min_key, lag(max_key) OVER (ORDER BY min_key, id) AS before FROM part WHERE level = 1 AND id IN (11, 12)) WHERE min_key <= before")
+def level_order_check(spark, d):
+    return maintenance.misplaced(run_tables(spark, d).filter("id in (11, 12)"))
+
+
+@query("SELECT id, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -id END, min_key, id)::INT AS place FROM part WHERE level = 0")
+def table_order(spark, d):
+    return maintenance.table_order(run_tables(spark, d).filter("level = 0")).select("id", "place")
+
+
+@query("SELECT f.id FROM (SELECT unnest(range(8, 18)) AS id) f ANTI JOIN part ON f.id = part.id")
+def unlisted_tables(spark, d):
+    return maintenance.unlisted(spark.range(8, 18), run_tables(spark, d))
+
+
+@query("SELECT id, level FROM part WHERE id NOT IN (SELECT unnest(range(8, 11)))")
+def missing_tables(spark, d):
+    return maintenance.missing(spark.range(8, 11), run_tables(spark, d)).select("id", "level")
+
+
+@query("SELECT node_id, applied_lsn, connected, CASE WHEN connected AND applied_lsn <= (SELECT max(lsn) FROM m) THEN (SELECT max(lsn) FROM m) - applied_lsn END AS lag FROM prog")
+def replica_lag(spark, d):
+    durable = log(spark, d).agg(F.max("lsn").alias("durable"))
+    return maintenance.replica_lag(progress(spark, d).join(F.broadcast(durable)), F.col("durable")).drop("durable")
+
+
+@query("SELECT node_id, CASE WHEN NOT connected THEN 'disconnected' WHEN applied_lsn > (SELECT max(lsn) FROM m) THEN 'online' WHEN applied_lsn = (SELECT max(lsn) FROM m) THEN 'synced' ELSE 'lagging' END AS state FROM prog")
+def replica_state(spark, d):
+    return replica_lag(spark, d).select("node_id", S.replica_state(F.col("connected"), F.col("lag"), F.lit(True)).alias("state"))
+
+
+@query("SELECT min(applied_lsn) FILTER (connected) AS floor, CASE WHEN min(applied_lsn) FILTER (connected) < 100000 AND 100000 - min(applied_lsn) FILTER (connected) <= 1000000 THEN greatest(min(applied_lsn) FILTER (connected), 900) ELSE 100000 END AS base FROM prog")
+def retention_floor(spark, d):
+    f = progress(spark, d).agg(F.min(F.when(F.col("connected"), F.col("applied_lsn"))).alias("floor"))
+    return f.select("floor", maintenance.retention_base(F.lit(100_000), F.col("floor"), F.lit(900)).cast("long").alias("base"))
+
+
+@query("SELECT count(*) FILTER (applied_lsn >= 990) AS acks, count(*) FILTER (applied_lsn >= 990) >= 3 AS enough FROM prog")
+def acks_at_lsn(spark, d):
+    return maintenance.acknowledged(progress(spark, d), 990, 3)
+
+
+@query("""SELECT user_id, CASE WHEN user_id % 7 = 0 THEN 'cluster mismatch' WHEN a > 500000 THEN 'replica ahead' WHEN a < 20 THEN 'snapshot' WHEN user_id % 5 = 0 THEN 'history differs' ELSE 'stream' END AS decision
+FROM (SELECT user_id, max(event_id) % 1000 * 600 % 600100 AS a FROM events GROUP BY user_id)""")
+def handshake_decision(spark, d):
+    r = table(spark, d, "events").groupBy("user_id").agg((F.max("event_id") % 1000 * 600 % 600_100).alias("a"))
+    return r.select("user_id", handshake(F.col("user_id") % 7 != 0, F.col("a"), F.lit(500_000), F.lit(20), F.col("user_id") % 5 != 0).alias("decision"))
+
+
+# telemetry
+
+
+@query("SELECT node, count(*) AS requests, count(*) FILTER (event_type <> 'error') AS ok, count(*) FILTER (event_type = 'error') AS errors FROM ns GROUP BY node")
+def request_counts(spark, d):
+    return samples(spark, d).groupBy("node").agg(F.count("*").alias("requests"), F.count_if(F.col("event_type") != "error").alias("ok"), F.count_if(F.col("event_type") == "error").alias("errors"))
+
+
+HIST = "h AS (SELECT node, CASE WHEN ns <= 1 THEN 0 ELSE least(floor(log2(ns) * 4)::INT, 159) END AS bucket, count(*) AS n FROM ns GROUP BY ALL)"
+
+
+@query(f", {HIST} SELECT node, bucket, n FROM h")
+def latency_histogram(spark, d):
+    return telemetry.histogram(samples(spark, d), F.col("ns"), ["node"])
+
+
+@query(f""", {HIST}, c AS (SELECT *, sum(n) OVER (PARTITION BY node ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY node) AS total FROM h)
+SELECT node, permille, ceil(pow(2.0, (min(bucket) + 1) / 4.0))::DOUBLE AS upper_ns FROM c, (SELECT unnest([500, 950, 990]) AS permille) WHERE upto >= greatest(1, (total * permille + 999) // 1000) GROUP BY ALL""")
+def histogram_percentiles(spark, d):
+    return telemetry.histogram_percentiles(latency_histogram(spark, d), ["node"], [500, 950, 990])
+
+
+@query("SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE r = greatest(1, (n * 9500 + 9999) // 10000)")
+def nearest_rank_percentiles(spark, d):
+    return telemetry.nearest_rank(table(spark, d, "events"), ["event_type"], "value", 9500)
+
+
+@query("SELECT event_type, value FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) WHERE r = n // 2 + 1")
+def upper_median(spark, d):
+    return telemetry.upper_median(table(spark, d, "events"), ["event_type"], "value")
+
+
+@query("SELECT mix, median(q)::DOUBLE AS median FROM bench GROUP BY mix")
+def mix_median(spark, d):
+    return telemetry.mix_medians(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mix"), F.col("l_quantity").alias("q")), ["mix"], "q")
+
+
+@query(""", a AS (SELECT mix, median(q) AS before FROM bench WHERE build = 'O' GROUP BY mix), b AS (SELECT mix, median(q) AS after FROM bench WHERE build = 'F' AND mix <> 'R' GROUP BY mix)
+SELECT mix, before, after, CASE WHEN before <> 0 THEN (after - before) / before END AS change FROM a LEFT JOIN b USING (mix)""")
+def base_head_change(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mix"), F.col("l_linestatus").alias("build"), F.col("l_quantity").alias("q"))
+    side = lambda f: telemetry.mix_medians(l.filter(f), ["mix"], "q")
+    return telemetry.base_head(side("build = 'O'"), side("build = 'F' and mix <> 'R'"), ["mix"], "median")
+
+
+SERIES = "s AS (SELECT node, event_id AS t_ms, CASE WHEN event_id % 11 = 0 THEN NULL WHEN event_id % 50 = 0 THEN 0 ELSE event_id * 3 END AS value FROM ns)"
+
+
+def series(spark, d) -> DataFrame:
+    v = F.when(F.col("event_id") % 11 == 0, None).when(F.col("event_id") % 50 == 0, 0).otherwise(F.col("event_id") * 3)
+    return samples(spark, d).select("node", F.col("event_id").alias("t_ms"), v.alias("value"))
+
+
+@query(f""", {SERIES}, l AS (SELECT *, lag(t_ms) OVER w AS t0, lag(value) OVER w AS v0 FROM s WINDOW w AS (PARTITION BY node ORDER BY t_ms))
+SELECT node, t_ms, (value - v0) * 1000.0::DOUBLE / (t_ms - t0) AS rate FROM l WHERE v0 IS NOT NULL AND value IS NOT NULL AND value >= v0 AND t_ms > t0""")
+def counter_rates(spark, d):
+    return telemetry.counter_rates(series(spark, d))
+
+
+@query(f", {SERIES} SELECT q.node, q.t_ms, (SELECT value FROM s WHERE s.node = q.node AND s.t_ms = (SELECT max(t_ms) FROM s s2 WHERE s2.node = q.node AND s2.t_ms <= q.t_ms)) AS value FROM (SELECT 'n' || (c_custkey % 3) AS node, c_custkey * 5 AS t_ms FROM customer) q")
+def asof_value(spark, d):
+    asked = table(spark, d, "customer").select(F.concat(F.lit("n"), (F.col("c_custkey") % 3).cast("string")).alias("node"), (F.col("c_custkey") * 5).alias("t_ms"))
+    return telemetry.as_of(asked, series(spark, d))
+
+
+@query(f", {SERIES} SELECT node, t_ms, value FROM s QUALIFY row_number() OVER (PARTITION BY node ORDER BY t_ms DESC) <= 300")
+def last_n_samples(spark, d):
+    return telemetry.last_samples(series(spark, d))
+
+
+@query(", s AS (SELECT node, event_id AS seq, event_id * 37 % 1009 AS t_ms FROM ns), x AS (SELECT *, max(t_ms) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s) SELECT node, seq, t_ms FROM x WHERE seen IS NULL OR t_ms > seen")
+def advancing_samples(spark, d):
+    s = samples(spark, d).select("node", F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1009).alias("t_ms"))
+    return telemetry.advancing(s)
+
+
+@query("SELECT count(*) FILTER (event_type <> 'error') AS syncs, count(*) FILTER (event_type = 'error') AS errors, ((sum(ns) FILTER (event_type <> 'error') // count(*) FILTER (event_type <> 'error') + 999) // 1000)::BIGINT AS avg_us, ((max(ns) FILTER (event_type <> 'error') + 999) // 1000)::BIGINT AS max_us FROM ns")
+def sync_stats(spark, d):
+    return telemetry.sync_stats(samples(spark, d), "ns", F.col("event_type") == "error")
+
+
+@query("SELECT node, count(*) FILTER (event_type <> 'error') / 10.0::DOUBLE AS per_second, (sum(ns) FILTER (event_type <> 'error'))::DOUBLE / count(*) FILTER (event_type <> 'error') AS mean_ns FROM ns GROUP BY node")
+def throughput(spark, d):
+    ok = F.col("event_type") != "error"
+    return samples(spark, d).groupBy("node").agg((F.count_if(ok) / 10.0).alias("per_second"), (F.sum(F.when(ok, F.col("ns"))).cast("double") / F.count_if(ok)).alias("mean_ns"))
+
+
+@query("SELECT node, greatest(max(event_id) - min(event_id), 0) / 100.0::DOUBLE / 7.0::DOUBLE * 100 AS percent FROM ns GROUP BY node")
+def cpu_percent(spark, d):
+    r = samples(spark, d).groupBy("node").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
+    return r.select("node", S.cpu_percent(F.col("a"), F.col("b"), 100.0, F.lit(7.0)).alias("percent"))
+
+
+@query("SELECT event_id, k AS name, v AS value FROM (SELECT event_id, unnest(['lsn', 'user', 'lag']) AS k, unnest([event_id::VARCHAR, user_id::VARCHAR, NULL]) AS v FROM events)")
+def stats_lines(spark, d):
+    text = F.concat(F.lit("lsn="), F.col("event_id").cast("string"), F.lit("\nbroken\nuser="), F.col("user_id").cast("string"), F.lit("\nlag=unknown\n=x"))
+    return telemetry.parse_stats(table(spark, d, "events").select("event_id", text.alias("text")))
+
+
+# scalar functions
+
+
+@query("SELECT key, lower(hex(encode(key))) AS hex, key AS again, NULL::VARCHAR AS odd FROM live")
+def hex_roundtrip(spark, d):
+    x = kv.live(log(spark, d)).select("key", S.hex_encode(F.col("key")).alias("hex"))
+    return x.select("key", "hex", S.hex_decode(F.col("hex")).cast("string").alias("again"), S.hex_decode(F.concat("hex", F.lit("a"))).cast("string").alias("odd"))
+
+
+@query("SELECT lsn, (33 + strlen(key) + coalesce(strlen(value), 0))::INT AS length FROM m")
+def encoded_length(spark, d):
+    return log(spark, d).select("lsn", S.encoded_length(F.col("key"), F.col("value")).cast("int").alias("length"))
+
+
+@query("SELECT lsn, CASE WHEN lsn % 5 = 0 THEN 'empty key' WHEN lsn % 7 = 0 THEN 'key too long' WHEN lsn % 11 = 0 THEN 'unknown operation' WHEN lsn % 13 = 0 AND op = 2 THEN 'delete with value' END AS error FROM m")
+def record_checks(spark, d):
+    m = log(spark, d)
+    key = F.when(F.col("lsn") % 5 == 0, "").when(F.col("lsn") % 7 == 0, F.repeat(F.lit("k"), 4097)).otherwise(F.col("key"))
+    op = F.when(F.col("lsn") % 11 == 0, 3).otherwise(F.col("op"))
+    value = F.when((F.col("lsn") % 13 == 0) & (F.col("op") == 2), "x").otherwise(F.col("value"))
+    return m.select("lsn", S.mutation_error(op, key, value).alias("error"))
+
+
+@query("""SELECT lsn, CASE WHEN lsn % 4 < 3 THEN ['SET', 'GET', 'SCAN'][lsn % 4 + 1] END AS verb, CASE WHEN lsn % 4 < 3 THEN key END AS key,
+ CASE WHEN lsn % 4 = 0 THEN 'a b ' || lsn WHEN lsn % 4 = 2 THEN key || '~ 10' END AS value, CASE WHEN lsn % 4 = 3 THEN 'unknown command' END AS error FROM m""")
+def command_parse(spark, d):
+    n, lsn = F.col("lsn") % 4, F.col("lsn").cast("string")
+    line = F.when(n == 0, F.concat(F.lit("  set "), "key", F.lit("  a b "), lsn, F.lit(" "))).when(n == 1, F.concat(F.lit("Get "), "key")).when(n == 2, F.concat(F.lit("SCAN "), "key", F.lit(" "), "key", F.lit("~ 10"))).otherwise(F.lit("jump x"))
+    return parse_commands(log(spark, d).select("lsn", "key", line.alias("line")).drop("key")).drop("line")
+
+
+@query("SELECT lsn, [lpad(hex(i * 16), 8, '0') || '  ' || rtrim(regexp_replace(lower(hex(encode(substr(key, i * 16 + 1, 16)))), '(..)', '\\1 ', 'g')) FOR i IN range(0, (strlen(key) + 15) // 16)]::VARCHAR AS dump FROM m WHERE lsn <= 100".replace("\\\\", "\\"))
+def hexdump(spark, d):
+    x = log(spark, d).filter("lsn <= 100").select("lsn", S.hexdump(F.col("key").cast("binary")).alias("dump"))
+    return x.select("lsn", F.concat(F.lit("["), F.array_join("dump", ", "), F.lit("]")).alias("dump"))
+
+
+@query("SELECT lsn, 'k:' || lpad(lsn::VARCHAR, 8, '0') AS k, 'key-' || lpad((lsn % 600)::VARCHAR, 5, '0') AS dashed, (lsn // 8 + CASE WHEN 3 < lsn % 8 THEN 1 ELSE 0 END)::BIGINT AS share, ((lsn * 701 + 999) // 1000)::BIGINT AS us FROM m")
+def formats(spark, d):
+    lsn = F.col("lsn")
+    return log(spark, d).select("lsn", S.key_text("k:", lsn).alias("k"), S.key_text("key-", lsn % 600, 5).alias("dashed"), S.work_share(lsn, 8, F.lit(3)).alias("share"), S.ceil_micros(lsn * 701).alias("us"))
+
+
+@query("SELECT lsn, CASE WHEN b < 1024 THEN b || ' B' WHEN b < 1048576 THEN printf('%.1f KiB', b / 1024.0) ELSE printf('%.1f MiB', b / 1048576.0) END AS size FROM (SELECT lsn, lsn * 1000 + 3 AS b FROM m)")
+def human_sizes(spark, d):
+    return log(spark, d).select("lsn", S.human_bytes(F.col("lsn") * 1000 + 3).alias("size"))
+
+
+# streaming
+
+
+@query("SELECT key, op, lsn FROM n")
+def stream_latest_state(spark, d):
+    """The newest change of each key by a stream over the change log's files."""
+    from .streaming.replicate import live_view
+
+    e = table(spark, d, "events")
+    found = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
+    name = "live_" + next(tempfile._get_candidate_names())
+    return live_view(changelog.from_events(found), name).select("key", "op", "lsn")

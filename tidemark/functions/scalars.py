@@ -77,8 +77,8 @@ def bucket_upper(i: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    at = lambda k: F.format_number(n / float(1 << (10 * k)), 1)
-    return F.when(n.isNull(), "-").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(at(1), F.lit(" KiB"))).when(n < 1 << 30, F.concat(at(2), F.lit(" MiB"))).otherwise(F.concat(F.regexp_replace(at(3), ",", ""), F.lit(" GiB")))
+    at = lambda k: F.regexp_replace(F.format_number(n / float(1 << (10 * k)), 1), ",", "")
+    return F.when(n.isNull(), "-").when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(at(1), F.lit(" KiB"))).when(n < 1 << 30, F.concat(at(2), F.lit(" MiB"))).otherwise(F.concat(at(3), F.lit(" GiB")))
 
 
 def replica_state(connected: Column, lag: Column, caught_up: Column) -> Column:
