@@ -30,6 +30,7 @@ from .shared import cut
 from .words import U, Words, chunks, mix, pair, texts, window_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
+BASES = 5
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -213,8 +214,11 @@ def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of:
     parts = rows.groupBy("k", "label").agg(F.count("*").alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("parts"))
     rows = rows.join(parts.filter("parts > 1"), "k")
     nodes = rows.groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("main")).alias("minor"))
-    base = tested.groupBy("node").agg(F.min(F.struct("leader", "sim")).alias("base"))
-    nodes = nodes.join(base, "node", "left").select("node", "label", "minor", F.coalesce("base.leader", "node").alias("base"), F.coalesce("base.sim", F.lit(1.0)).alias("sim"))
+    # each text is at similarity 1 to itself; with up to four of its leaders these are its bases
+    near = tested.groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct("leader", "sim"))), 1, BASES - 1).alias("near"))
+    own = F.array(F.struct(F.col("node").alias("leader"), F.lit(1.0).alias("sim")))
+    nodes = nodes.join(near, "node", "left").withColumn("near", F.when(F.col("near").isNull(), own).otherwise(F.concat(own, "near")))
+    nodes = nodes.select("node", "label", "minor", *[F.get("near", F.lit(i))[c].alias(f"{c}{i}_") for i in range(BASES) for c in ("leader", "sim")])
     nodes = cut(nodes, "contested")
     elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long"), "elements")
     df = elements.groupBy("e").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("at")).filter("df > 1")
@@ -223,13 +227,19 @@ def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of:
     # an element of one text only comes first in it, and matches nothing
     ranked = elements.join(df, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("first"))
-    prefix = cut(prefix.join(nodes.select("node", "base", "sim"), "node").select("e", "node", "label", "minor", "n", "r", "base", "sim"), "prefix")
-    x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim")
-    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "minor", "n", "r", "base", "sim")])
+    marks = [f"{c}{i}_" for i in range(BASES) for c in ("leader", "sim")]
+    prefix = cut(prefix.join(nodes.select("node", *marks), "node").select("e", "node", "label", "minor", "n", "r", *marks), "prefix")
+    x = prefix.filter("minor").drop("minor")
+    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in prefix.columns if c != "e"])
     least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
     # two minor texts meet once, not once from either side
     once = ~F.col("minor2") | (F.col("node") < F.col("node2"))
-    found = x.join(y, (x.e == y.e) & once & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)))
+    apart = F.lit(False)
+    for i in range(BASES):
+        for j in range(BASES):
+            far = (F.col(f"leader{i}_") == F.col(f"leader{j}_2")) & (F.abs(F.col(f"sim{i}_") - F.col(f"sim{j}_2")) > 1 - threshold + 1e-9)
+            apart = apart | F.coalesce(far, F.lit(False))
+    found = x.join(y, (x.e == y.e) & once & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ~apart)
     return found.select(F.greatest("node", "node2").alias("node"), F.least("node", "node2").alias("leader")).distinct()
 
 
