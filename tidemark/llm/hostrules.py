@@ -52,11 +52,13 @@ def host_rules(df: DataFrame, text: str = "text", host: str = "source", carry: l
     an empty table gives an empty one. A host whose shrunk failure rate is over `most` fails as a
     whole. Its table is joined by size: broadcast if small, else a join that Spark may split.
     """
-    carry = df.columns if carry is None else carry
     rows = with_rules(df, text)
     failed = (F.col("rule.n_words") < min_words) | (F.col("rule.n_repeat_words") * 100 > F.col("rule.n_words") * repeat_percent)
-    kept = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in carry]).alias("row")
-    rows = cut(rows.select(kept, F.col(f"row.`{host}`").alias("host"), "rule", failed.alias("base_failed")), "rules")
+    kept = F.struct(*[F.col(f"row.`{c}`").alias(c) for c in carry or df.columns]).alias("row")
+    rows = rows.select(kept, F.col(f"row.`{host}`").alias("host"), "rule", failed.alias("base_failed"))
+    if carry is not None:
+        # a narrow table is kept for the second use; whole rows are not written but judged again
+        rows = cut(rows, "rules")
     hosts = rows.groupBy("host").agg(F.count("*").alias("n"), F.count_if("base_failed").alias("f"))
     hosts = cut(hosts, "hosts")
     # one row for all hosts: the prior by moments of their rates

@@ -143,7 +143,10 @@ def mix(rows: DataFrame, members: str, quotas, epochs: int = 2, seed: int = 17,
 def mix_by_weight(df: DataFrame, text: str = "text", source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """(row, size, source_size, target, taken, routes): sources in code point order, null last,
     weigh `weights` in turn and share `share` of all words, none above `most` times its size."""
-    rows = cut(with_sizes(df, text, carry), "sizes").withColumn("members", F.array(F.col(f"row.`{source}`")))
+    rows = with_sizes(df, text, carry)
+    if carry is not None:
+        rows = cut(rows, "sizes")  # narrow; whole rows are not written but counted again
+    rows = rows.withColumn("members", F.array(F.col(f"row.`{source}`")))
     made: dict = {}
 
     def quotas(sizes: dict) -> dict:
