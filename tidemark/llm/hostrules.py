@@ -36,7 +36,9 @@ def with_rules(df: DataFrame, text: str = "text", n: int = 5) -> DataFrame:
     step = lambda x, j: F.least(F.lit(n), F.coalesce(F.get("p", j + 1) - x, F.lit(n)))
     covered = F.aggregate(F.transform("p", step), F.lit(0).cast("long"), lambda a, x: a + x)
     rule = F.struct(
-        F.size("h").cast("long").alias("n_words"),
+        # the partition id adds nothing but keeps filters on the rules from being pushed below them,
+        # which would write these expressions out anew for each use
+        (F.size("h") + F.spark_partition_id() * 0).cast("long").alias("n_words"),
         F.length(F.translate(t, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
