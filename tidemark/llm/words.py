@@ -1,7 +1,7 @@
 """Vectorised words and word-window hashes over Arrow text columns.
 
 A word is a run of bytes other than space and the controls 9 to 13, so UTF-8 text is handled
-as bytes. Work goes in chunks of a few MB; a longer text is a chunk of its own.
+as bytes. Work goes in chunks of 1 MB; a longer text is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
