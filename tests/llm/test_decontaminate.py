@@ -30,7 +30,8 @@ def brute(text, item, n=8, share=0.5, run=5):
         slots = [(a[i][0], b[i + s][0]) for i in on if a[i][1] and a[i][1] == b[i + s][1]]
         refilled = sum(x != y for x, y in slots)
         k = len(set(slots))
-        if (k != len({x for x, _ in slots}) or k != len({y for _, y in slots})) and refilled > 0.2 * len(on):
+        literals = sum(a[i][1] == 0 for i in on)
+        if (k != len({x for x, _ in slots}) or k != len({y for _, y in slots}) or 2 * literals < len(on)) and refilled > 0.2 * len(on):
             continue
         got = (len(on), len(slots), refilled, on[0] + s)
         best = max(best, got) if best else got

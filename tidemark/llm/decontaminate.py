@@ -7,6 +7,8 @@ where slots are placeholders of their kind, and as they are. Template windows of
 of benchmark items by hash. Hits of an item on one alignment (text place minus item place) form
 runs; a run is a leak if it covers enough of the item, and its slots are consistent: the same
 filling of the item always became the same filling in the text, and differing ones differing.
+A run of which over a fifth is filled anew must be literals by half: mere lists of numbers or
+names fit each other anyhow.
 """
 
 from __future__ import annotations
@@ -157,10 +159,10 @@ def judge(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.nd
         x, y = a[slot], b[slot]
         pairs = len(np.unique(np.stack([x, y], 1), axis=0)) if len(x) else 0
         refilled = int((x != y).sum())
-        if pairs != len(np.unique(x)) or pairs != len(np.unique(y)):
-            # literal overlap stands by itself, whatever its slots
-            if refilled > 0.2 * len(covered):
-                continue
+        loose = pairs != len(np.unique(x)) or pairs != len(np.unique(y)) or 2 * int((kind == 0).sum()) < len(covered)
+        # what is the same stands by itself; what is filled anew needs consistent slots between literals
+        if loose and refilled > 0.2 * len(covered):
+            continue
         found = (len(covered), int(slot.sum()), refilled, int(lo + s + covered[0] - t.at[d]))
         best = max(best, found) if best else found
     return best

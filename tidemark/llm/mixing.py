@@ -135,7 +135,8 @@ def mix(rows: DataFrame, members: str, quotas, epochs: int = 2, seed: int = 17,
         got = [F.greatest(F.lit(0), F.least(x["hi"], F.col("c") + F.col("size") + F.col("line") * e) - F.greatest(x["lo"], F.col("c") + F.col("line") * e)) for e in range(epochs)]
         return F.struct(x["source"].alias("source"), sum(got[1:], got[0]).alias("taken"))
 
-    out = out.withColumn("routes", F.filter(F.transform("stretches", share), lambda x: x["taken"] > 0))
+    stretches = F.coalesce("stretches", F.array().cast("array<struct<source: string, lo: bigint, hi: bigint>>"))
+    out = out.withColumn("routes", F.filter(F.transform(stretches, share), lambda x: x["taken"] > 0))
     taken = F.coalesce(F.aggregate("routes", F.lit(0).cast("long"), lambda a, x: a + x["taken"]), F.lit(0).cast("long"))
     return out.select("row", "size", taken.alias("taken"), "routes")
 
