@@ -56,6 +56,20 @@ def test_classes_against_brute_force(spark):
     assert got == brute(rows)
 
 
+def test_group_around_the_threshold_against_brute_force(spark):
+    r = random.Random(11)
+    base = [f"b{i % 130}" for i in range(140)]
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(r.choice([1, 2, 3, 4, 5, 6])):
+            w[r.randrange(len(w))] = r.choice([f"o{i}", "same", "other"])
+        rows.append((i, " ".join(w)))
+    got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and 10 < len(set(want.values())) < 140
+
+
 def test_repeated_rows_null_ids_empty_table(spark):
     df = spark.createDataFrame([(None, "a b c d e f"), (7, "a b c d e f"), (7, "a b c d e f"), (None, "q r"), (None, None)], "doc_id long, text string")
     got = sorted(((x.doc_id, x.class_id) for x in near_duplicates(df).collect()), key=str)

@@ -11,7 +11,9 @@ Texts that agree in a band are members of a bucket. Each member is compared with
 member, which makes no pairs within a bucket, and the links found join members to components.
 For buckets in which several components are left, an exact prefix join finds the links that are
 missing: two multisets can only overlap by o if their elements up to rank size - o + 1, rarest
-first, have one in common. So the classes miss no link between texts that share a bucket.
+first, have one in common. Of these pairs only those meet whose parity words allow the link: each
+element that is in one of the two texts alone flips one bit, so the bits that differ are never more
+than such elements. So the classes miss no link between texts that share a bucket.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from .shared import cut
 from .words import U, Words, chunks, mix, pair, texts, window_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
+#: 64-bit words of the parities of a text's elements.
+PARITY = 16
 
 
 def shingles(w: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -216,20 +220,24 @@ def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of:
     base = tested.groupBy("node").agg(F.min(F.struct("leader", "sim")).alias("base"))
     nodes = nodes.join(base, "node", "left").select("node", "label", "minor", F.coalesce("base.leader", "node").alias("base"), F.coalesce("base.sim", F.lit(1.0)).alias("sim"))
     nodes = cut(nodes, "contested")
-    elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long"), "elements")
+    elements = cut(text_of.join(nodes, "node").select("node", "label", "minor", "text").mapInArrow(_elements(shingle), "node long, label long, minor boolean, n int, e long, parity array<long>"), "elements")
+    nodes = nodes.join(elements.filter(F.size("parity") > 0).select("node", "parity"), "node")
     df = elements.groupBy("e").agg(F.count("*").alias("df"), F.bit_xor(F.xxhash64("node")).alias("at")).filter("df > 1")
     # of elements that stand in the same texts the first is enough: the first that two texts share is such
     df = df.withColumn("first", F.col("e") == F.min("e").over(Window.partitionBy("df", "at"))).drop("at")
+    elements = elements.drop("parity")
     # an element of one text only comes first in it, and matches nothing
     ranked = elements.join(df, "e", "left").withColumn("r", F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("df", F.lit(1)), "e")))
     prefix = ranked.filter((F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1) & F.col("first"))
-    prefix = cut(prefix.join(nodes.select("node", "base", "sim"), "node").select("e", "node", "label", "minor", "n", "r", "base", "sim"), "prefix")
-    x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim")
-    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "minor", "n", "r", "base", "sim")])
+    prefix = cut(prefix.join(nodes.select("node", "base", "sim", "parity"), "node").select("e", "node", "label", "minor", "n", "r", "base", "sim", "parity"), "prefix")
+    x = prefix.filter("minor").select("e", "node", "label", "n", "r", "base", "sim", "parity")
+    y = prefix.select("e", *[F.col(c).alias(c + "2") for c in ("node", "label", "minor", "n", "r", "base", "sim", "parity")])
     least = F.ceil((F.col("n") + F.col("n2")) * (threshold / (1 + threshold)) - 1e-9)
     # two minor texts meet once, not once from either side
     once = ~F.col("minor2") | (F.col("node") < F.col("node2"))
-    found = x.join(y, (x.e == y.e) & once & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)))
+    apart = sum((F.bit_count(F.col("parity")[i].bitwiseXOR(F.col("parity2")[i])) for i in range(PARITY)), F.lit(0))
+    near = once & (F.col("label") != F.col("label2")) & (F.col("r") <= F.col("n") - least + 1) & (F.col("r2") <= F.col("n2") - least + 1) & ((F.col("base") != F.col("base2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)) & (apart <= F.col("n") + F.col("n2") - 2 * least)
+    found = x.join(y, (x.e == y.e) & near)
     return found.select(F.greatest("node", "node2").alias("node"), F.least("node", "node2").alias("leader")).distinct()
 
 
@@ -244,7 +252,15 @@ def _elements(shingle: int):
                 e = pair(np.repeat(s, c), nth.astype(U))
                 d = np.repeat(d, c)
                 at = pa.array(d + i)
-                yield pa.RecordBatch.from_arrays([node.take(at), label.take(at), minor.take(at), pa.array(n[d]), pa.array(e.view(np.int64))], ["node", "label", "minor", "n", "e"])
+                # the parities of a text stand in the row of its first element
+                bits = np.zeros((j - i) * PARITY, U)
+                np.bitwise_xor.at(bits, d * PARITY + (e >> U(6)).astype(np.int64) % PARITY, U(1) << (e & U(63)))
+                text, first = np.unique(d, return_index=True)
+                offs = np.zeros(len(d) + 1, np.int32)
+                offs[first + 1] = PARITY
+                values = bits.reshape(-1, PARITY)[text[np.argsort(first)]].reshape(-1).view(np.int64)
+                parity = pa.ListArray.from_arrays(np.cumsum(offs, dtype=np.int32), values)
+                yield pa.RecordBatch.from_arrays([node.take(at), label.take(at), minor.take(at), pa.array(n[d]), pa.array(e.view(np.int64)), parity], ["node", "label", "minor", "n", "e", "parity"])
 
     return run
 
