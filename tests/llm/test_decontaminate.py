@@ -86,3 +86,24 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [len(x.leaks) for x in find_leaks(df, none).collect()] == [0]
     assert find_leaks(df.limit(0), none).collect() == []
+
+
+def test_runs_are_joined_over_shifts(spark):
+    r = random.Random(11)
+    say = lambda n, k: [f"{k}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}" for _ in range(n)]
+    long, huge = say(40, "w"), say(400, "v")
+    names = "Anna gave Tom 5 apples and then Tom gave Anna 3 pears while Anna kept 5 plums"
+    more = names.replace("Anna", "Anna Maria")
+    texts = [
+        (1, " ".join([*long[:13], "xx", *long[13:26], "yy", *long[26:]]), [1]),
+        (2, " ".join([*long[26:], *say(9, "z"), *long[13:26], *say(9, "z"), *long[:13]]), []),  # out of order
+        (3, "So: " + more, [2]),
+        (4, more.replace("Tom", "Bob Lee").replace("5", "twenty five"), [2]),
+        (5, "Anna Maria gave Tom 5 apples and then Ida gave Eva Lee 3 pears while Ugo Max kept 7 plums", []),  # names at will
+        (6, " ".join(say(30, "z") + huge[100:160] + say(30, "z")), [3]),
+        (7, " ".join(say(30, "z") + huge[100:140] + say(30, "z")), []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, t, _ in texts], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(long)), (2, names), (3, " ".join(huge))], "item_id long, text string")
+    got = {x.row.doc_id: [k.item_id for k in x.leaks] for x in find_leaks(df, bench).collect()}
+    assert got == {i: want for i, _, want in texts}

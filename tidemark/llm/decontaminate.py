@@ -9,10 +9,15 @@ runs; a run is a leak if it covers enough of the item, and its slots are consist
 filling of the item always became the same filling in the text, and differing ones differing.
 A run of which over a fifth is filled anew must be literals by half: mere lists of numbers or
 names fit each other anyhow.
+
+If no alignment is enough by itself, runs of all of them are joined in order: what counts is the
+longest chain of places that rise in both the item and the text. For this, windows are also hashed
+with neighbouring slots of one kind folded into one, so a filling may have another number of tokens.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,6 +85,12 @@ class Tokens:
         self.kind[np.isin(self.h, _FIXED["units"])] = UNIT
         self.kind[(c[s] == 2) | np.isin(self.h, _FIXED["numbers"])] = NUMBER
         self.template = np.where(self.kind > 0, mix(self.kind.astype(U) + U(977)), self.h)
+        # groups: a literal, or all neighbouring slots of one kind
+        new = np.ones(len(s), bool)
+        new[1:] = (self.kind[1:] == 0) | (self.kind[1:] != self.kind[:-1]) | (self.doc[1:] != self.doc[:-1])
+        self.groups = np.append(np.flatnonzero(new), len(s))
+        self.group_at = np.searchsorted(self.groups[:-1], self.at)
+        self.group = np.cumsum(new) - 1
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
@@ -100,6 +111,17 @@ def _windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([p, p]), np.concatenate([window_hashes(t.template, n)[p], mix(window_hashes(t.h, n)[p])])
 
 
+def _folded(t: Tokens, n: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(first group, hash) of windows of n groups within one text, and of each shorter length."""
+    h, ends = t.template[t.groups[:-1]], np.repeat(t.group_at[1:], np.diff(t.group_at))
+    parts = [(np.empty(0, np.int64), np.empty(0, U))]
+    for m in (*short, n):
+        if len(h) >= m:
+            p = np.flatnonzero(np.arange(len(h) - m + 1) + m <= ends[: len(h) - m + 1])
+            parts.append((p, pair(window_hashes(h, m)[p], np.full(len(p), m, U))))
+    return np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
+
+
 class Items:
     """Windows of benchmark items, sorted by hash, and the tokens of the items."""
 
@@ -117,6 +139,20 @@ class Items:
         keep = np.unique(np.stack([h, p.astype(U)], 1), axis=0) if len(h) else np.empty((0, 2), U)
         self.keys, self.places = keep[:, 0].copy(), keep[:, 1].astype(np.int64)
         self.item = np.searchsorted(self.at, self.places, "right") - 1
+        # the same of groups; items with fewer than a window are whole, and need literals by half to pass
+        self.groups, self.group, self.group_at = t.groups, t.group, t.group_at
+        self.group_counts = np.diff(t.group_at)
+        literals = np.bincount(t.doc[t.kind == 0], minlength=len(raw))
+        few = (self.group_counts > 0) & (self.group_counts < window) & (2 * literals >= self.counts)
+        self.group_short = sorted({int(n) for n in self.group_counts[few]})
+        p, h = _folded(t, window, [])
+        for n in self.group_short:
+            q, x = _folded(t, n, [])
+            own = np.isin(q, t.group_at[:-1][few & (self.group_counts == n)])
+            p, h = np.concatenate([p, q[own]]), np.concatenate([h, x[own]])
+        order = np.lexsort((p, h))
+        self.group_keys, self.group_places = h[order], p[order]
+        self.group_item = np.searchsorted(self.group_at, self.group_places, "right") - 1
 
 
 def _short(h: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
@@ -137,7 +173,25 @@ def _hits(t: Tokens, window: int, short: list[int]) -> tuple[np.ndarray, np.ndar
     return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
 
-def judge(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.ndarray, least_share: float, least_run: int) -> tuple[int, int, int, int] | None:
+def _matches(keys: np.ndarray, p: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, number of the key) of each pair of a window and an equal key."""
+    if not len(keys):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.searchsorted(keys, h)
+    hit = np.flatnonzero(keys[np.minimum(at, len(keys) - 1)] == h)
+    p, h, at = p[hit], h[hit], at[hit]
+    n = np.searchsorted(keys, h, "right") - at
+    return np.repeat(p, n), np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def enough(covered: np.ndarray, size: int, least_share: float, least_run: int, long_run: int) -> bool:
+    """Whether these places of an item are enough of it, or hold a run of long_run."""
+    if len(covered) >= min(size, max(least_run, least_share * size)):
+        return True
+    return len(covered) >= long_run and bool((covered[long_run - 1 :] - covered[: len(covered) - long_run + 1] == long_run - 1).any())
+
+
+def judge(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.ndarray, least_share: float, least_run: int, long_run: int) -> tuple[int, int, int, int] | None:
     """The best run of text d on item i: (covered tokens, slots, slots refilled, first token), or
     None. places are starts of hit windows in the text, at those in the item."""
     best = None
@@ -150,7 +204,7 @@ def judge(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.nd
         np.add.at(on, w, 1)
         np.add.at(on, np.minimum(w + n, size), -1)
         covered = np.flatnonzero(np.cumsum(on)[:size] > 0)
-        if len(covered) < min(size, max(least_run, least_share * size)):
+        if not enough(covered, size, least_share, least_run, long_run):
             continue
         a, b = items.h[lo + covered], t.h[lo + covered + s]
         kind, other = items.kind[lo + covered], t.kind[lo + covered + s]
@@ -168,7 +222,65 @@ def judge(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.nd
     return best
 
 
-def _scan(shared, least_share: float, least_run: int):
+def _chain(j: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Numbers of the longest chain of pairs that rises in j and in at."""
+    order = np.lexsort((-j, at))
+    tails: list[int] = []
+    last: list[int] = []
+    before = np.full(len(j), -1, np.int64)
+    for k, v in zip(order.tolist(), j[order].tolist(), strict=True):
+        m = bisect_left(tails, v)
+        before[k] = last[m - 1] if m else -1
+        if m == len(tails):
+            tails.append(v)
+            last.append(k)
+        else:
+            tails[m], last[m] = v, k
+    out, k = [], last[-1] if last else -1
+    while k >= 0:
+        out.append(k)
+        k = int(before[k])
+    return np.array(out[::-1], np.int64)
+
+
+def join_runs(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: np.ndarray, group_places: np.ndarray, group_at: np.ndarray, least_share: float, least_run: int, long_run: int) -> tuple[int, int, int, int] | None:
+    """As judge, of the runs of all alignments in order. group_places and group_at are the hits of
+    folded windows, as groups."""
+    lo, size = int(items.at[i]), int(items.counts[i])
+    step = np.arange(min(items.window, size))
+    j, p = (at[:, None] + step).ravel(), (places[:, None] + step).ravel()
+    step = np.arange(min(items.window, int(items.group_counts[i])))
+    g = np.unique(np.stack([(group_at[:, None] + step).ravel(), (group_places[:, None] + step).ravel()], 1), axis=0)
+    # tokens of a group lie evenly on those of its match
+    a, b = items.groups[g[:, 0] + 1] - items.groups[g[:, 0]], t.groups[g[:, 1] + 1] - t.groups[g[:, 1]]
+    k = np.arange(a.sum()) - np.repeat(np.cumsum(a) - a, a)
+    j = np.concatenate([j, np.repeat(items.groups[g[:, 0]], a) + k])
+    if not enough(np.unique(j), size, least_share, least_run, long_run):
+        return None
+    line = np.concatenate([p, np.repeat(t.groups[g[:, 1]], a) + k * np.repeat(b / np.maximum(a, 1), a)])
+    pairs = np.unique(np.stack([j, line], 1), axis=0)
+    pairs = pairs[_chain(pairs[:, 0].astype(np.int64), pairs[:, 1])]
+    j, p = pairs[:, 0].astype(np.int64), pairs[:, 1].astype(np.int64)
+    if not enough(j - lo, size, least_share, least_run, long_run):
+        return None
+    slot = (items.kind[j] > 0) & (items.kind[j] == t.kind[p])
+    fills, refilled = set(), 0
+    for x, y in zip(j[slot].tolist(), p[slot].tolist(), strict=True):
+        gx, gy = int(items.group[x]), int(t.group[y])
+        ax, ay = int(items.groups[gx]), int(t.groups[gy])
+        bx, by = int(items.groups[gx + 1]), int(t.groups[gy + 1])
+        if bx - ax == by - ay and x - ax == y - ay:
+            ax, bx, ay, by = x, x + 1, y, y + 1
+        fill = items.h[ax:bx].tobytes(), t.h[ay:by].tobytes()
+        fills.add(fill)
+        refilled += fill[0] != fill[1]
+    loose = len(fills) != len({x for x, _ in fills}) or len(fills) != len({y for _, y in fills}) or 2 * int((items.kind[j] == 0).sum()) < len(j)
+    if loose and refilled > 0.2 * len(j):
+        return None
+    return len(j), int(slot.sum()), refilled, int(p[0] - t.at[d])
+
+
+def _scan(shared, least_share: float, least_run: int, long_run: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for b in batches:
@@ -176,24 +288,25 @@ def _scan(shared, least_share: float, least_run: int):
             for _, _, w in chunks(b.column("text")):
                 t = Tokens(w.data, w.offs)
                 found: dict[int, list] = {}
-                if len(items.keys):
-                    p, h = _hits(t, items.window, items.short)
-                    at = np.searchsorted(items.keys, h)
-                    hit = np.flatnonzero(items.keys[np.minimum(at, len(items.keys) - 1)] == h)
-                    p, h, at = p[hit], h[hit], at[hit]
-                    n = np.searchsorted(items.keys, h, "right") - at
-                    k = np.repeat(at, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                    p = np.repeat(p, n)
-                    key = t.doc[p] * len(items.ids) + items.item[k]
+                sets = []
+                for keys, own, hits in ((items.keys, items.item, _hits(t, items.window, items.short)), (items.group_keys, items.group_item, _folded(t, items.window, items.group_short))):
+                    p, k = _matches(keys, *hits)
+                    doc = t.doc[t.groups[p]] if sets else t.doc[p]
+                    key = doc * len(items.ids) + own[k]
                     order = np.argsort(key, kind="stable")
-                    p, k, key = p[order], k[order], key[order]
-                    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else []
-                    for a, z in zip(first, np.append(first[1:], len(key)) if len(key) else [], strict=True):
-                        d, i = divmod(int(key[a]), len(items.ids))
-                        got = judge(t, d, p[a:z], items, i, items.places[k[a:z]], least_share, least_run)
-                        if got:
-                            covered, slots, refilled, start = got
-                            found.setdefault(d, []).append({"item_id": items.ids[i], "share": covered / int(items.counts[i]), "tokens": covered, "slots": slots, "refilled": refilled, "start": start})
+                    sets.append((p[order], k[order], key[order]))
+                (p, k, key), (gp, gk, gkey) = sets
+                for x in np.unique(np.concatenate([key, gkey])):
+                    d, i = divmod(int(x), len(items.ids))
+                    a, z = np.searchsorted(key, x), np.searchsorted(key, x, "right")
+                    at = items.places[k[a:z]]
+                    got = judge(t, d, p[a:z], items, i, at, least_share, least_run, long_run)
+                    if not got:
+                        ga, gz = np.searchsorted(gkey, x), np.searchsorted(gkey, x, "right")
+                        got = join_runs(t, d, p[a:z], items, i, at, gp[ga:gz], items.group_places[gk[ga:gz]], least_share, least_run, long_run)
+                    if got:
+                        covered, slots, refilled, start = got
+                        found.setdefault(d, []).append({"item_id": items.ids[i], "share": covered / int(items.counts[i]), "tokens": covered, "slots": slots, "refilled": refilled, "start": start})
                 leaks += [found.get(d, []) for d in range(len(w.offs) - 1)]
             yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(leaks, LEAKS)], ["row", "leaks"])
 
@@ -204,7 +317,7 @@ LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("
 LEAK_TYPE = "array<struct<item_id: bigint, share: double, tokens: bigint, slots: bigint, refilled: bigint, start: bigint>>"
 
 
-def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = 0.5, least_run: int = 5, part_bytes: int = 8 << 20, carry: list[str] | None = None) -> DataFrame:
+def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = 0.5, least_run: int = 5, part_bytes: int = 8 << 20, carry: list[str] | None = None, long_run: int = 50) -> DataFrame:
     """(row, leaks) for each row of df: leaks lists the benchmark items that it holds, with the
     share of the item covered, tokens covered, its slots and those filled anew, and the first token.
 
@@ -212,7 +325,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
     first; a text meets each part in a pass of its own, so no size of the benchmark goes beyond
     memory. Null or empty texts and items leak nothing; items of equal text are all listed; equal
     rows get equal results; an empty table gives an empty one. Items of fewer tokens than
-    least_run leak if all of them are there.
+    least_run leak if all of them are there; a run of long_run tokens leaks whatever its share.
     """
     spark = df.sparkSession
     items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null and id is not null").distinct()
@@ -229,7 +342,7 @@ def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id:
             kinds = T.StructType([rows.schema["row"], *T._parse_datatype_string(f"leaks {LEAK_TYPE}").fields])
         found = rows.select(F.struct("row", "text").alias("row"), "text") if parts > 1 else rows
         kinds = T.StructType([found.schema["row"], *T._parse_datatype_string(f"leaks {LEAK_TYPE}").fields])
-        found = found.mapInArrow(_scan(shared, least_share, least_run), kinds)
+        found = found.mapInArrow(_scan(shared, least_share, least_run, long_run), kinds)
         if parts == 1:
             return found
         if out is None:
