@@ -56,6 +56,21 @@ def test_licences_and_inheritance(spark):
     assert scan_licenses(df.limit(0)).collect() == []
 
 
+def test_licence_headers_over_lines(spark):
+    gnu = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version.\nimport os\n"
+    name = "3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    grant = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:"
+    end = "\n\n" + "Terms go here. " * 50 + "\n\nEND OF TERMS AND CONDITIONS\n"
+    rows = [(f"s/{i}.py", f"// SPDX-License-Identifier: {x}\ncode()", want) for i, (x, want) in enumerate([("MIT", "MIT"), ("Apache-2.0", "Apache-2.0"), ("GPL-3.0-or-later", "GPL-3.0"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("EPL-2.0", "EPL-2.0"), ("GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0"), ("(mit OR Apache-2.0)", "Apache-2.0")])]
+    rows += [("g3/a.py", gnu.format(3), "GPL-3.0"), ("g2/a.py", gnu.format(2), "GPL-2.0"), ("l3/a.py", gnu.format(3).replace("GNU General", "GNU Lesser General"), "LGPL-3.0")]
+    rows += [("b/a.txt", name, "BSD-3-Clause"), ("m/a.txt", "MIT License\n\nCopyright (c) 2020 A B\n\n" + grant, "MIT")]
+    rows += [("t/COPYING", "   GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n", "GPL-3.0"), ("t/u/x", "words", None), ("v/COPYING", "GNU GENERAL PUBLIC LICENSE\n\nVersion 3, 29 June 2007" + end, "GPL-3.0")]
+    rows += [("w/terms.txt", "Apache License\nVersion 2.0, January 2004" + end, "Apache-2.0"), ("w/x", "words", None), ("p/a.txt", "The licence of a poet is\nto bend words as one\nlikes, copyright or not.", None)]
+    got = {g.path: (g.own_license, g.license) for g in scan_licenses(spark.createDataFrame([(p, t) for p, t, _ in rows], "path string, text string")).collect()}
+    assert {p: o for p, (o, _) in got.items()} == {p: o for p, _, o in rows}
+    assert got["t/u/x"][1] == "GPL-3.0" and got["w/x"][1] == "Apache-2.0"
+
+
 def test_targets_and_flow():
     assert capped_targets({"a": 10, "b": 100}, {"a": 3, "b": 1}, 165, 2) == {"a": 20.0, "b": 145.0}
     sent = flow({("x",): 10, ("x", "y"): 10, ("y",): 5}, {"x": 18, "y": 12}, 2)
