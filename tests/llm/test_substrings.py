@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
@@ -66,3 +67,35 @@ def test_equal_rows_and_null_ids_and_empty(spark):
     got = sorted((r.n_words, r.n_removed) for r in remove_repeated_windows(df).collect())
     assert got == [(50, 50), (50, 50), (51, 50)]
     assert remove_repeated_windows(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("base", [1, 4, 16, 32])
+def test_any_first_level_gives_the_same(spark, base):
+    texts = corpus(35, 35)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sorted((r.row.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeated_windows(df, 35, base=base).collect())
+    assert got == brute(texts, 35)
+
+
+def test_equal_rows_cost_as_much_as_different_ones(spark):
+    r = random.Random(2)
+    texts = [" ".join(f"w{r.randrange(10**6)}" for _ in range(120)) for _ in range(8000)]
+
+    def run(rows):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        began = time.time()
+        got = remove_repeated_windows(df).selectExpr("sum(n_words) AS w", "sum(n_removed) AS r").first()
+        return got, time.time() - began
+
+    run(list(enumerate(texts[:50])))
+    (w, removed), apart = run(list(enumerate(texts)))
+    assert (w, removed) == (960_000, 0)
+    (w, removed), equal = run([(1, texts[0])] * 8000)
+    assert (w, removed) == (960_000, 960_000) and equal < 2 * apart + 3
+
+
+def test_clashing_names(spark):
+    t = " ".join(f"v{i}" for i in range(50))
+    df = spark.createDataFrame([(1, t, "a", 1, 2, t), (2, t, None, 1, 2, None)], "rk long, `my text` string, row string, n_words int, hits int, text string")
+    got = remove_repeated_windows(df, text="my text").collect()
+    assert [(x.row["rk"], x.row["row"], x.n_words, x.n_removed) for x in sorted(got, key=lambda x: x.row["rk"])] == [(1, "a", 50, 50), (2, None, 50, 50)]

@@ -1,10 +1,13 @@
 """Removal of word windows that occur more than once, by level-wise doubling.
 
-For a window of w words, b is the largest power of two with 2b <= w. Of the windows of b words,
-those are taken up that are the leftmost minimum (by hash) of some window of w words, so that
-equal windows of w words take up equal ones. Those of b words that occur once end there. The
-others are extended to 2b words, those that occur more than once to w words, and of these the
-ones that occur more than once cover the words to remove. Every level is judged on the input.
+Levels have windows of b, 2b, 4b, ... words up to the largest within the window of w words; b is
+a power of two, a quarter of w at most. On the first level those windows of b words are taken up
+that are the leftmost minimum (by hash), the anchor, of some window of w words, so that equal
+windows of w words take up equal ones. On each level the windows that occur once end, and with
+them all windows of w words they were taken up for; the others are extended to twice the length,
+at a place that follows from the anchor alone, until no candidate survives or the next doubling
+would pass w. What is left is extended to w words, and of these windows the ones that occur more
+than once cover the words to remove. Every level is judged on the input.
 
 Each task drops what it has seen twice itself before the shuffle (one row per key and task goes
 on), so a passage that a third of all texts share does not meet in one task.
@@ -26,8 +29,13 @@ from .words import Words, chunks, pair, whole_groups, window_hashes
 FLUSH = 4_000_000
 
 
-def base_length(window: int) -> int:
-    return max(1, 1 << ((window // 2).bit_length() - 1)) if window > 1 else 1
+def doublings(window: int, base: int | None = None) -> list[int]:
+    """Lengths of the levels: base, twice that, and so on within the window."""
+    n = base or max(1, 1 << max(0, (window // 4).bit_length() - 1))
+    out = [n]
+    while 2 * out[-1] <= window:
+        out.append(2 * out[-1])
+    return out
 
 
 def _leftmost_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -43,25 +51,51 @@ def _leftmost_min(x: np.ndarray, n: int) -> np.ndarray:
     return at if size == n else lower(at[: len(at) - (n - size)], at[n - size :])
 
 
-def _anchors(w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts of windows within one text, their anchors, hashes of base windows)."""
-    h = w.hashes
-    if len(h) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64), h[:0]
-    base = base_length(window)
-    hb = window_hashes(h, base)
-    a = _leftmost_min(hb, window - base + 1)
+def _anchors(w: Words, window: int, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts of windows within one text, their anchors)."""
+    if len(w.hashes) < window:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    a = _leftmost_min(window_hashes(w.hashes, base), window - base + 1)
     p = np.flatnonzero(np.arange(len(a)) + window <= w.end_of_doc[: len(a)])
-    return p, a[p], hb
+    return p, a[p]
 
 
-def _once(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the first of each key, whether that key is there again)."""
-    _, first, n = np.unique(keys, return_index=True, return_counts=True)
-    return first, n > 1
+def _inside(p: np.ndarray, a: np.ndarray, window: int, length: int) -> np.ndarray:
+    """Start of the part of `length` words that stands for the window at p with anchor a."""
+    step = window - length + 1
+    return a - step * ((a - p) // step)
 
 
-def _level1(window: int):
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first row of each group of equal keys, group of each row, whether a group has several)."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        x = k[order]
+        new[1:] |= x[1:] != x[:-1]
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    first = order[new]
+    return first, of, np.bincount(of, minlength=len(first)) > 1
+
+
+def _stay(b: pa.RecordBatch, i: int, j: int, w: Words) -> np.ndarray:
+    """Marks of the words where a part of the level before survives."""
+    lists = b.column("alive").slice(i, j - i)
+    n = np.diff(lists.offsets.to_numpy())
+    good = np.zeros(len(w.starts), bool)
+    good[lists.flatten().to_numpy() + np.repeat(w.at[:-1], n)] = True
+    return good
+
+
+def _texts(b: pa.RecordBatch) -> pa.Array:
+    return b.column("row").field(b.column("row").type.get_field_index("text"))
+
+
+def _level(window: int, base: int, before: int | None, length: int):
+    """Parts of `length` words of the windows whose part of `before` words survives."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -70,25 +104,25 @@ def _level1(window: int):
                 return
             k, r, p = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            first, again = _once(k)
-            seen = np.zeros(len(k), np.int8)
+            first, of, again = _groups(k)
+            seen = again[of].astype(np.int8)  # 1: known to be repeated, key not needed
             seen[first[again]] = 2  # stands for its key, and is known to be repeated
-            order = np.sort(k[first[again]])
-            if len(order):
-                at = np.minimum(np.searchsorted(order, k), len(order) - 1)
-                seen[(order[at] == k) & (seen == 0)] = 1  # known to be repeated, key not needed
             yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(seen)], ["k", "rk", "p", "f"])
 
         for b in batches:
             rk = b.column("rk").to_numpy()
-            for i, j, w in chunks(b.column("text")):
-                _, a, hb = _anchors(w, window)
-                if not len(a):
+            for i, j, w in chunks(_texts(b) if before else b.column("text")):
+                p, a = _anchors(w, window, base)
+                if before and len(p):
+                    on = _stay(b, i, j, w)[_inside(p, a, window, before)]
+                    p, a = p[on], a[on]
+                if not len(p):
                     continue
-                a = a[np.concatenate(([True], a[1:] != a[:-1]))]
-                d = w.doc[a]
-                held.append((hb[a], rk[i:j][d], a - w.at[:-1][d]))
-                size += len(a)
+                s = _inside(p, a, window, length)
+                s = np.unique(s) if before else s[np.concatenate(([True], s[1:] != s[:-1]))]
+                d = w.doc[s]
+                held.append((window_hashes(w.hashes, length)[s], rk[i:j][d], s - w.at[:-1][d]))
+                size += len(s)
                 if size >= FLUSH:
                     yield from flush()
                     size = 0
@@ -97,10 +131,14 @@ def _level1(window: int):
     return run
 
 
-def _known(k: np.ndarray, flag: np.ndarray) -> np.ndarray:
-    """Of rows sorted by k: does the key stand more than once, or is flagged."""
-    first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
-    n = np.diff(np.append(first, len(k)))
+def _known(flag: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """Of rows sorted by keys: do the keys stand more than once, or are they flagged."""
+    new = np.zeros(len(flag), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    n = np.diff(np.append(first, len(flag)))
     return np.repeat((n > 1) | np.logical_or.reduceat(flag, first), n)
 
 
@@ -111,15 +149,15 @@ def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = np.flatnonzero(f != 1)  # rows known before stand under a key of their own
         if len(rest):
             rest = rest[np.argsort(k[rest], kind="stable")]
-            keep[rest] |= _known(k[rest], f[rest] == 2)
+            keep[rest] |= _known(f[rest] == 2, k[rest])
         t = t.select(["rk", "p"]).filter(pa.array(keep))
         yield from t.to_batches()
 
 
-def _level2(window: int):
-    base = base_length(window)
-    step = window - 2 * base + 1 if window > 1 else 1
-    twice = min(2 * base, window)
+def _last(window: int, base: int, length: int):
+    """Windows whose part of `length` words, the last level, survives: by that part, with the
+    hashes of the up to `step` windows that it stands for."""
+    step = window - length + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -129,15 +167,11 @@ def _level2(window: int):
                 return
             k, h, r, s, o = (np.concatenate(x) for x in zip(*held, strict=True))
             held.clear()
-            first, again = _once(h)
+            first, of, again = _groups(k, h)
             lead = np.zeros(len(h), np.int8)
             lead[first] = 1 + again  # 1: alone so far; 2: repeated, stands for the others
-            order = np.sort(h[first[again]])
-            known = np.zeros(len(h), bool)
-            if len(order):
-                at = np.minimum(np.searchsorted(order, h), len(order) - 1)
-                known = order[at] == h
-            # rows of one doubled window each, of up to `step` full windows
+            known = again[of]
+            # rows of one part each, of up to `step` full windows
             new = np.flatnonzero(np.concatenate(([True], (r[1:] != r[:-1]) | (s[1:] != s[:-1]))))
             row = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(h))))
             full = np.zeros((len(new), step), np.uint64)
@@ -158,22 +192,17 @@ def _level2(window: int):
 
         for b in batches:
             rk = b.column("rk").to_numpy()
-            alive = b.column("alive")
-            for i, j, w in chunks(b.column("row").field(b.column("row").type.get_field_index("text"))):
-                p, a, _ = _anchors(w, window)
+            for i, j, w in chunks(_texts(b)):
+                p, a = _anchors(w, window, base)
                 if not len(p):
                     continue
-                lists = alive.slice(i, j - i)
-                n = np.diff(lists.offsets.to_numpy())
-                good = np.zeros(len(w.starts), bool)
-                good[lists.flatten().to_numpy() + np.repeat(w.at[:-1], n)] = True
-                stay = good[a]
-                p, a = p[stay], a[stay]
+                s = _inside(p, a, window, length)
+                on = _stay(b, i, j, w)[s]
+                p, s = p[on], s[on]
                 if not len(p):
                     continue
                 d = w.doc[p]
-                s = a - step * ((a - p) // step)
-                held.append((window_hashes(w.hashes, twice)[s], window_hashes(w.hashes, window)[p], rk[i:j][d], s - w.at[:-1][d], s - p))
+                held.append((window_hashes(w.hashes, length)[s], window_hashes(w.hashes, window)[p], rk[i:j][d], s - w.at[:-1][d], s - p))
                 size += len(p)
                 if size >= FLUSH:
                     yield from flush()
@@ -211,13 +240,13 @@ def _repeated(step: int):
             h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64)
             f = np.frombuffer(b"".join(t.column("f").to_pylist()), np.uint8)
             o = np.tile(np.arange(step), len(t))
-            rk = np.repeat(t.column("rk").to_numpy(), step)
+            k, rk = (np.repeat(t.column(c).to_numpy(), step) for c in ("k", "rk"))
             p = np.repeat(t.column("p").to_numpy(), step) - o
             keep = f > 0
-            h, f, rk, p = h[keep], f[keep], rk[keep], p[keep]
-            order = np.argsort(h, kind="stable")
+            h, f, k, rk, p = h[keep], f[keep], k[keep], rk[keep], p[keep]
+            order = np.lexsort((h, k))
             again = np.zeros(len(h), bool)
-            again[order] = _known(h[order], f[order] == 2)
+            again[order] = _known(f[order] == 2, k[order], h[order])
             rk, p = rk[again], p[again]
             order = np.lexsort((p, rk))
             x = pa.Table.from_batches([_bits(rk[order], p[order].astype(np.int64))])
@@ -227,6 +256,7 @@ def _repeated(step: int):
 
 
 OUT = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept_text": pa.string(), "removed": pa.list_(pa.list_(pa.int32()))}
+OUT_DDL = "n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<array<int>>"
 
 
 def _remove(window: int):
@@ -266,32 +296,43 @@ def _remove(window: int):
 _BLANKS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
 
 
-def remove_repeated_windows(df: DataFrame, window: int = 35, text: str = "text") -> DataFrame:
+def remove_repeated_windows(df: DataFrame, window: int = 35, text: str = "text", base: int | None = None) -> DataFrame:
     """All columns of df (in a struct `row`) with n_words, n_removed, kept_sha256, kept_text (null
     where nothing is removed: the text stays as it is) and removed (pairs of word numbers, end
     excluded).
 
     A null or empty text has no words and stays; texts shorter than the window lose nothing;
-    equal rows are repeats of each other; an empty table gives an empty one; other columns are
-    only carried, whatever their names. Windows are compared by 64-bit hashes.
+    equal rows are repeats of each other and cost as much as different ones; an empty table gives
+    an empty one; other columns are only carried, whatever their names. A very long text is
+    worked on as a whole, by one worker. Windows are compared by two 64-bit hashes, of the window
+    and of its last level; rows are named by one.
     """
     if window < 1:
         raise ValueError("window must be at least 1")
-    row = F.struct(F.col(text).alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(None).cast("int").alias("none")]).alias("rest"))
+    row = F.struct(F.col(f"`{text}`").alias("text"), F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text] or [F.lit(None).cast("int").alias("none")]).alias("rest"))
     src = df.select(row.alias("row")).withColumn("rk", F.xxhash64("row.text", F.to_json("row.rest")))
     dealt = src.select("rk", "row").repartition("rk")
-    step = window - 2 * base_length(window) + 1 if window > 1 else 1
-    # s deals known rows out by their text, the others by their key
-    l1 = src.select("rk", F.col("row.text").alias("text")).mapInArrow(_level1(window), "k long, rk long, p int, f byte")
-    l1 = l1.withColumn("s", F.when(F.col("f") == 1, F.xxhash64("rk", "p")).otherwise(F.col("k")))
-    alive = l1.repartition("s").sortWithinPartitions("s").mapInArrow(_survivors, "rk long, p int")
-    alive = alive.groupBy("rk").agg(F.collect_set("p").alias("alive"))
-    l2 = dealt.join(alive, "rk").mapInArrow(_level2(window), "k long, rk long, p int, h binary, f binary, m long")
-    l2 = l2.withColumn("s", F.coalesce("k", F.xxhash64("rk", "p")))
-    hits = l2.repartition("s").sortWithinPartitions("s").mapInArrow(_repeated(step), "rk long, p int, m long")
+    sizes = doublings(window, base)
+
+    def level(rows: DataFrame, before: int | None, length: int) -> DataFrame:
+        found = rows.mapInArrow(_level(window, sizes[0], before, length), "k long, rk long, p int, f byte")
+        # s deals known rows out by their text, the others by their key
+        found = found.withColumn("s", F.when(F.col("f") == 1, F.xxhash64("rk", "p")).otherwise(F.col("k")))
+        found = found.repartition("s").sortWithinPartitions("s").mapInArrow(_survivors, "rk long, p int")
+        return found.groupBy("rk").agg(F.collect_set("p").alias("alive"))
+
+    alive = level(src.select("rk", F.col("row.text").alias("text")), None, sizes[0])
+    for before, length in zip(sizes, sizes[1:]):
+        alive = level(dealt.join(alive, "rk"), before, length)
+    step = window - sizes[-1] + 1
+    last = dealt.join(alive, "rk").mapInArrow(_last(window, sizes[0], sizes[-1]), "k long, rk long, p int, h binary, f binary, m long")
+    last = last.withColumn("s", F.coalesce("k", F.xxhash64("rk", "p")))
+    hits = last.repartition("s").sortWithinPartitions("s").mapInArrow(_repeated(step), "rk long, p int, m long")
+    # equal rows find the same: once for each place, before it is collected
+    hits = hits.groupBy("rk", "p").agg(F.bit_or("m").alias("m"))
     hits = hits.groupBy("rk").agg(F.collect_list((F.col("p").cast("long") * F.lit(1 << 32)) + F.col("m")).alias("hits"))
     out = dealt.join(hits, "rk", "left").select("row", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"))
-    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), *T._parse_datatype_string("n_words long, n_removed long, kept_sha256 string, kept_text string, removed array<array<int>>").fields])
+    schema = T.StructType([T.StructField("row", src.schema["row"].dataType), *T.StructType.fromDDL(OUT_DDL).fields])
     out = out.mapInArrow(_remove(window), schema)
     cols = [(F.col("row.text") if c == text else F.col(f"row.rest.`{c}`")).alias(c) for c in df.columns]
     return out.select(F.struct(*cols).alias("row"), "n_words", "n_removed", "kept_sha256", "kept_text", "removed")
