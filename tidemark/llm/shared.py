@@ -7,18 +7,25 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Only where the session has none (tests, a single machine) is one set.
+    Where the session has none, one is set only if the session runs on this machine alone; on a
+    cluster executors would write to disks of their own, so that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = jvm_dir.get() if jvm_dir.isDefined() else "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        if jvm_dir.isDefined():
+            found = jvm_dir.get()
+        elif re.match(r"local(\[|$)", spark.sparkContext.master):
+            found = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -36,6 +43,12 @@ def cut(df: DataFrame, kind: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_key(columns: list[str], of: str | None = None) -> Column:
+    """128 bits of all columns of a row, nulls told apart; equal rows have equal keys."""
+    name = lambda c: F.col(f"{of}.`{c}`" if of else f"`{c}`")
+    return F.md5(F.to_json(F.struct(*[name(c).alias(f"c{i}") for i, c in enumerate(columns)])))
+
+
 def local_path(uri: str) -> str | None:
     """The path of a file: URI or plain path, None for other stores."""
     if re.match(r"file:", uri):
