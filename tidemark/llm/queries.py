@@ -41,7 +41,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, class_id (the smallest doc_id of the near-duplicate class)."""
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_words", "class_id")
 
 
 def op4_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,13 +52,13 @@ def op4_flow_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, the five rule figures, base_failed, kept."""
+    """doc_id, the five rule figures, base_failed, host_failed (the verdict of its host), kept."""
     out = host_rules(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), carry=["doc_id"])
-    return out.select(F.col("row.doc_id").alias("doc_id"), "rule.*", "base_failed", "kept")
+    return out.select(F.col("row.doc_id").alias("doc_id"), "rule.*", "base_failed", "host_failed", "kept")
 
 
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, archive, offset."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to."""
     out = through_archives(table(spark, sf_dir, "pages"))
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -133,7 +133,7 @@ SELECT d.doc_id, d.path, own_license, own_score, CASE WHEN own_license IS NULL T
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN near ON near.path = d.path
 """,
     "op4_flow_mix": r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS i FROM d GROUP BY source),
 w AS (SELECT *, CASE i % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w FROM s),
 o AS (SELECT *, 1.5 * (sum(n) OVER ())::DOUBLE - coalesce(sum(2 * n) OVER (ORDER BY 2.0 * n / w, i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS rest,
@@ -142,7 +142,7 @@ c AS (SELECT *, rest * w / open > 2 * n AS over FROM o),
 k AS (SELECT *, (1.5 * sum(n) OVER () - coalesce(sum(2 * n) FILTER (over) OVER (), 0))::DOUBLE AS share, (sum(w) FILTER (NOT over) OVER ())::DOUBLE AS ws FROM c),
 t AS (SELECT source, n, CASE WHEN over THEN 2.0::DOUBLE * n ELSE share * w / ws END AS target FROM k),
 line AS (SELECT d.*, t.n, t.target, round(target)::BIGINT AS q,
-                sum(size) OVER (PARTITION BY d.source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, '')), size ROWS UNBOUNDED PRECEDING) - size AS c
+                sum(size) OVER (PARTITION BY d.source ORDER BY md5('17:' || coalesce(doc_id::VARCHAR, digest)), size, digest ROWS UNBOUNDED PRECEDING) - size AS c
          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, n AS source_size, target,
        (greatest(0, least(q, c + size) - c) + greatest(0, least(q, c + size + n) - (c + n)))::BIGINT AS taken
@@ -161,8 +161,10 @@ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_fail
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM b GROUP BY source),
 m AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS m, var_pop(f / n) AS v, avg(1 / n) AS w FROM h),
 p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-6) - 1, 1.0), 1e6) AS k FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND (h.f + p.m * p.k) / (h.n + p.k) <= 0.5 AS kept
-FROM b JOIN h ON b.source IS NOT DISTINCT FROM h.source, p
+q AS (SELECT source, (h.f + p.m * p.k) / (h.n + p.k) AS r, h.n + p.k + 1 AS size, p.m FROM h, p),
+v AS (SELECT source, r - 2.0 * sqrt(r * (1 - r) / size) > least(1.5 * m, 0.5) AS host_failed FROM q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
 """,
     "op8_substring_doubling": r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
