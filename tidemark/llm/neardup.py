@@ -18,18 +18,18 @@ than such elements. So the classes miss no link between texts that share a bucke
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import components
 from .shared import cut
-from .words import U, Words, chunks, mix, pair, texts, window_hashes
+from .words import U, Words, chunks, mix, pair, window_hashes
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 32, 5, 5, 0.8
 #: 64-bit words of the parities of a text's elements.
@@ -114,15 +114,14 @@ def band_keys(sig: np.ndarray, rows: int) -> np.ndarray:
 def _profile(bands: int, rows: int, shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column("id")
+            node = b.column("node").to_numpy()
             for i, j, w in chunks(b.column("text")):
                 n = j - i
                 d, s, c = shingles(w, shingle)
                 k = band_keys(signatures(d, s, c, n, bands * rows), rows)
-                digest = [int.from_bytes(hashlib.blake2b(w.data[w.offs[x] : w.offs[x + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for x in range(n)]
-                blank = w.counts == 0
                 lists = pa.ListArray.from_arrays(np.arange(0, n * bands + 1, bands, dtype=np.int32), k.reshape(-1).view(np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, n), pa.array(digest, pa.int64(), mask=blank), pa.array(w.counts.astype(np.int64)), lists], ["id", "node", "n_words", "bands"])
+                own = [b.column(x).slice(i, n) for x in ("row", "id", "rk")]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(node[i:j], pa.int64(), mask=w.counts == 0), pa.array(w.counts.astype(np.int64)), lists], ["row", "id", "rk", "node", "n_words", "bands"])
 
     return run
 
@@ -170,25 +169,33 @@ def similarities(pairs: DataFrame, text_of: DataFrame, shingle: int = SHINGLE, s
     return rows.mapInArrow(_compare(shingle), "node long, leader long, sim double")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE) -> DataFrame:
-    """One row for each row of df: its id, n_words and class_id, the smallest id of its class.
+def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, shingle: int = SHINGLE, carry: list[str] | None = None) -> DataFrame:
+    """One row for each row of df: its id, n_words, class_id (the smallest id of its class), class
+    (a number of the class, null for a text without words) and row (the columns to carry, none by
+    default).
 
     Texts are linked if the weighted Jaccard similarity of their shingles is at least the
     threshold; a class is all that links join. Equal texts are one class; texts without words
-    (null, empty, blank) are each their own. Rows with a null id are grouped with their texts
-    and never name a class that has another id; a class of null ids only has a null class_id.
-    Equal rows stay. An empty table gives an empty one.
+    (null, empty, blank) are each their own. Ids may be of any type that has an order, repeated or
+    null: classes are of texts. Rows with a null id are grouped with their texts and never name a
+    class that has another id; a class of null ids only has a null class_id. Equal rows stay. An
+    empty table gives an empty one. A text is worked on as a whole, by one worker. Texts are told
+    apart by 64-bit hashes: among 10^10 different ones about 3 pairs are expected to be taken for
+    equal.
     """
-    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    profile = cut(docs.mapInArrow(_profile(bands, rows, shingle), "id long, node long, n_words long, bands array<long>"), "profile")
+    node, key = F.xxhash64("text"), F.xxhash64("id", "text")
+    docs = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or []] or [F.lit(None).cast("int").alias("none")]).alias("row"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    docs = docs.select("row", "id", key.alias("rk"), node.alias("node"), "text")
+    kinds = T.StructType([docs.schema["row"], docs.schema["id"], *T.StructType.fromDDL("rk long, node long, n_words long, bands array<long>").fields])
+    profile = cut(docs.mapInArrow(_profile(bands, rows, shingle), kinds), "profile")
     nodes = profile.filter("node is not null").groupBy("node").agg(F.first("bands").alias("bands"))
     keys = nodes.select("node", F.explode("bands").alias("k"))
     heads = keys.groupBy("k").agg(F.min("node").alias("leader"), F.count("*").alias("n")).filter("n > 1").drop("n")
     buckets = cut(keys.join(heads, "k").select("k", "node", "leader"), "buckets")
-    digest = profile.select("id", "node")
-    # the texts of members, one row for each
-    named = digest.join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("id").alias("id"))
-    text_of = _texts_of(docs, named)
+    # the texts of members, each from one of the rows that have it
+    named = profile.select("rk", "node").join(buckets.select("node").distinct(), "node").groupBy("node").agg(F.min("rk").alias("rk"))
+    found = docs.select("rk", F.col("node").alias("of"), "text").join(named, "rk").filter("of = node")
+    text_of = cut(found.select("node", "text").dropDuplicates(["node"]), "texts")
     pairs = buckets.filter("node != leader").select("node", "leader").distinct()
     tested = cut(similarities(pairs, text_of, shingle), "tested")
     links = tested.filter(F.col("sim") >= threshold).select("node", "leader")
@@ -198,13 +205,13 @@ def near_duplicates(df: DataFrame, text: str = "text", id_col: str = "doc_id", t
     if not missed.isEmpty():
         label = components(links.unionByName(missed).select(F.col("node").alias("a"), F.col("leader").alias("b")))
     label = label.withColumnRenamed("label", "class")
-    rows_ = profile.select("id", "node", "n_words")
+    rows_ = profile.select("row", "id", "node", "n_words")
     first = rows_.filter("node is not null").groupBy("node").agg(F.min("id").alias("lowest"))
     first = first.join(label, "node", "left").withColumn("class", F.coalesce("class", "node"))
     lowest = first.groupBy("class").agg(F.min("lowest").alias("class_id"))
-    named = cut(first.join(lowest, "class").select("node", "class_id"), "classes")
+    named = cut(first.join(lowest, "class").select("node", "class", "class_id"), "classes")
     out = rows_.join(named, "node", "left")
-    return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"))
+    return out.select(F.col("id").alias(id_col), "n_words", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), "class", "row")
 
 
 def _unlinked(buckets: DataFrame, label: DataFrame, tested: DataFrame, text_of: DataFrame, threshold: float, shingle: int) -> DataFrame:
@@ -263,18 +270,3 @@ def _elements(shingle: int):
                 yield pa.RecordBatch.from_arrays([node.take(at), label.take(at), minor.take(at), pa.array(n[d]), pa.array(e.view(np.int64)), parity], ["node", "label", "minor", "n", "e", "parity"])
 
     return run
-
-
-def _texts_of(docs: DataFrame, named: DataFrame) -> DataFrame:
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offs = texts(b.column("text"))
-            node = [int.from_bytes(hashlib.blake2b(data[offs[x] : offs[x + 1]].tobytes(), digest_size=8).digest(), "little", signed=True) for x in range(len(offs) - 1)]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), b.column("text")], ["node", "text"])
-
-    # a text is taken from the row of the smallest id that has it; equal rows of one id are one text
-    # null ids are kept apart, so that a class of null ids has its text as well
-    found = docs.filter("text is not null").withColumn("id", F.coalesce("id", F.lit(-(2**63))))
-    own = found.join(named.select(F.coalesce("id", F.lit(-(2**63))).alias("id")).distinct(), "id", "left_semi")
-    own = own.select("text").mapInArrow(digests, "node long, text string").join(named.select("node"), "node", "left_semi")
-    return cut(own.dropDuplicates(["node"]), "texts")
