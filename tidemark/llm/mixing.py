@@ -38,65 +38,95 @@ def capped_targets(sizes: dict, weights: dict, total: float, most: float) -> dic
 
 
 def flow(patterns: dict[tuple, int], quotas: dict, epochs: int) -> dict[tuple[tuple, object], int]:
-    """Words from each pattern to each source of it: most words, at least repetition."""
+    """Words from each pattern to each source of it: most words, at least repetition.
+
+    Each epoch is a flow by phases: shortest ways are numbered by one search, and all of them are
+    filled before the next one. A pattern of one source needs a single step, whatever their number.
+    """
     sent: dict = defaultdict(int)
     need, members = dict(quotas), defaultdict(list)
     for p in patterns:
         for s in p:
             members[s].append(p)
     for _ in range(epochs):
-        room = dict(patterns)
-        while True:
-            # shortest way from a pattern with room to a source in need, back over routes in use
-            back: dict = {("p", p): None for p, n in room.items() if n > 0}
-            todo, end = deque(back), None
-            while todo and end is None:
-                kind, x = todo.popleft()
-                if kind == "p":
-                    for s in x:
-                        if s in need and ("s", s) not in back:
-                            back["s", s] = (kind, x)
-                            if need[s] > 0:
-                                end = ("s", s)
-                                break
-                            todo.append(("s", s))
+        room = {p: n for p, n in patterns.items() if n > 0}
+        while _phase(room, need, members, sent):
+            pass
+    return {k: n for k, n in sent.items() if n}
+
+
+def _phase(room: dict, need: dict, members: dict, sent: dict) -> bool:
+    """Fill the shortest ways from patterns with room to sources in need; False if there is none.
+    A way may go back over routes in use."""
+    level: dict = {("p", p): 0 for p, n in room.items() if n > 0}
+    todo, end = deque(level), None
+    while todo:
+        node = todo.popleft()
+        if end is not None and level[node] >= end:
+            break
+        kind, x = node
+        if kind == "s":
+            new = [("p", p) for p in members[x] if sent[p, x] > 0]
+        else:
+            new = [("s", s) for s in x if s in need]
+        for y in new:
+            if y not in level:
+                level[y] = level[node] + 1
+                if y[0] == "s" and need[y[1]] > 0:
+                    end = level[y]
+                todo.append(y)
+    if end is None:
+        return False
+    place: dict = defaultdict(int)  # edges before it lead nowhere
+    for start in [y for y, n in level.items() if n == 0]:
+        while room[start[1]] > 0:
+            way = [start]
+            while way:
+                kind, x = way[-1]
+                if kind == "s" and need[x] > 0:
+                    break
+                ways, i = (x if kind == "p" else members[x]), place[way[-1]]
+                while i < len(ways):
+                    y = ("s" if kind == "p" else "p", ways[i])
+                    if level.get(y) == level[way[-1]] + 1 and (kind == "p" or sent[ways[i], x] > 0):
+                        break
+                    i += 1
+                place[way[-1]] = i
+                if i < len(ways):
+                    way.append(y)
                 else:
-                    for p in members[x]:
-                        if sent[p, x] > 0 and ("p", p) not in back:
-                            back["p", p] = (kind, x)
-                            todo.append(("p", p))
-            if end is None:
+                    level[way.pop()] = -1
+            if not way:
                 break
-            way = [end]
-            while back[way[-1]] is not None:
-                way.append(back[way[-1]])
-            way.reverse()
             steps = list(zip(way, way[1:], strict=False))
-            n = min([room[way[0][1]], need[end[1]], *(sent[b[1], a[1]] for a, b in steps if a[0] == "s")])
-            room[way[0][1]] -= n
-            need[end[1]] -= n
+            n = min([room[start[1]], need[way[-1][1]], *(sent[b[1], a[1]] for a, b in steps if a[0] == "s")])
+            room[start[1]] -= n
+            need[way[-1][1]] -= n
             for a, b in steps:
                 if a[0] == "p":
                     sent[a[1], b[1]] += n
                 else:
                     sent[b[1], a[1]] -= n
-    return {k: n for k, n in sent.items() if n}
+    return True
 
 
 def with_sizes(df: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(row, size): size is the number of words, 0 for a null text; row has the columns to carry."""
+    """(row, size, digest): size is the number of words, 0 for a null text; digest names the text;
+    row has the columns to carry."""
     size = F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("long")
-    return df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), size.alias("size"))
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), size.alias("size"), F.md5(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("digest"))
 
 
 def mix(rows: DataFrame, members: str, quotas, epochs: int = 2, seed: int = 17, id_col: str = "doc_id", most_patterns: int = 1_000_000, bucket: int = 2000) -> DataFrame:
-    """rows (row, size, members: array of sources, null allowed in it) with taken (long) and
-    routes (array of struct<source, taken>).
+    """rows (row, size, digest, members: array of sources, null allowed in it) with taken (long)
+    and routes (array of struct<source, taken>).
 
     quotas is a function of {source: size} to {source: words}; it and the flow run on the driver
-    over sums by pattern, whose number is checked. Rows without members are not taken. Equal rows
-    stand next to each other on the line. A row is taken at most `epochs` times; the row at the
-    end of a stretch is taken in part. An empty table gives an empty one.
+    over sums by pattern, whose number is checked: more than most_patterns are an error. Rows
+    without members are not taken. The seed and the id, or the text where the id is null, place a
+    row on the line; rows of one id go by size and text, and equal rows are exchangeable, so reruns
+    agree. A row is taken at most `epochs` times; the row at the end of a stretch is taken in part.
+    An empty table gives an empty one.
     """
     spark = rows.sparkSession
     marked = rows.withColumn("pattern", F.array_sort(F.array_distinct(F.transform(members, lambda s: F.coalesce(F.concat(F.lit("s"), s), F.lit("~"))))))
@@ -123,11 +153,11 @@ def mix(rows: DataFrame, members: str, quotas, epochs: int = 2, seed: int = 17,
     plan = spark.createDataFrame(plan, schema)
     # the plan has a row for each pattern; documents of a hot one are dealt over its buckets
     dealt = marked.join(F.broadcast(plan) if len(sums) <= 10_000 else plan, "pattern", "left")
-    dealt = dealt.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")))))
+    dealt = dealt.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.col("digest")))))
     dealt = dealt.withColumn("bucket", F.shiftright(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * F.coalesce("buckets", F.lit(1)), 28))
     parts = cut(dealt.groupBy("pattern", "bucket").agg(F.sum("size").alias("part")), "lines")
     before = parts.withColumn("before", F.sum("part").over(Window.partitionBy("pattern").orderBy("bucket")) - F.col("part")).drop("part")
-    inner = Window.partitionBy("pattern", "bucket").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inner = Window.partitionBy("pattern", "bucket").orderBy("key", "size", "digest").rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.withColumn("upto", F.sum("size").over(inner)).join(before, ["pattern", "bucket"], "left")
     out = out.withColumn("c", F.col("before") + F.col("upto") - F.col("size"))
 
@@ -143,7 +173,12 @@ def mix(rows: DataFrame, members: str, quotas, epochs: int = 2, seed: int = 17,
 
 def mix_by_weight(df: DataFrame, text: str = "text", source: str = "source", weights: tuple = (3, 1, 2), share: float = 1.5, most: int = 2, seed: int = 17, id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """(row, size, source_size, target, taken, routes): sources in code point order, null last,
-    weigh `weights` in turn and share `share` of all words, none above `most` times its size."""
+    weigh `weights` in turn and share `share` of all words, none above `most` times its size.
+
+    A null text has no words; a null source is one of its own; a null or repeated id, ties and
+    equal rows are as in mix; an empty table gives an empty one. The columns of df stand in the
+    struct row, whatever their names. Words of a very long text are counted in its row.
+    """
     rows = with_sizes(df, text, carry)
     if carry is not None:
         rows = cut(rows, "sizes")  # narrow; whole rows are not written but counted again
