@@ -20,11 +20,12 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .shared import cut, local_path, new_dir, open_input
 from .words import texts
@@ -33,18 +34,27 @@ DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 EPOCH = "2020-01-01T00:00:00Z"
 
 
+def page_urn(page: str | None) -> str:
+    return "urn:none" if page is None else "urn:page:" + quote(page, safe="")
+
+
+def urn_page(urn: str | None) -> str | None:
+    urn = (urn or "urn:none").strip("<>")
+    return unquote(urn.removeprefix("urn:page:")) if urn.startswith("urn:page:") else None
+
+
 def digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def record(page: str, url: str, payload: bytes, refers: str | None) -> bytes:
-    """One gzip member. A revisit has the HTTP head of the full payload, and not the payload."""
+def record(page: str | None, url: str, payload: bytes, refers: str | None) -> bytes:
+    """One gzip member; ids of pages are escaped as in URLs. A revisit has the HTTP head of the full payload, and not the payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body = head if refers is not None else head + payload
     url = url.replace("\r", "%0D").replace("\n", "%0A")
-    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <urn:page:{page}>", f"WARC-Date: {EPOCH}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'response' if refers is None else 'revisit'}", f"WARC-Record-ID: <{page_urn(page)}>", f"WARC-Date: {EPOCH}", f"WARC-Target-URI: {url}", f"WARC-Payload-Digest: sha1:{digest(payload)}"]
     if refers is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{page_urn(refers)}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
     return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 1, mtime=0)
 
@@ -80,7 +90,8 @@ def new_file(uri: str):
     os.replace(attempt, path)
 
 
-def write_archive(uri: str, records: Iterator[tuple[str, str, bytes, str | None]]) -> int:
+def write_archive(uri: str, records: Iterator[tuple[str | None, str, bytes, str | None]], limit: int = 1 << 30) -> int:
+    """Number of records written; a file that has reached `limit` bytes takes no more of them."""
     n, at, index = 0, 0, io.BytesIO()
     with new_file(uri) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True) as z:
         info = zipfile.ZipInfo(DATA)
@@ -90,6 +101,8 @@ def write_archive(uri: str, records: Iterator[tuple[str, str, bytes, str | None]
                 data.write(x)
                 index.write(json.dumps({"id": page, "offset": at, "length": len(x)}).encode() + b"\n")
                 at, n = at + len(x), n + 1
+                if at >= limit:
+                    break
         z.writestr(zipfile.ZipInfo(INDEX), index.getvalue())
         z.writestr(zipfile.ZipInfo("datapackage.json"), json.dumps({"profile": "data-package", "resources": [DATA, INDEX], "records": n}))
     return n
@@ -146,7 +159,7 @@ def _sizes(f) -> int:
     return f.tell()
 
 
-def _write(base: str):
+def _write(base: str, limit: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -156,29 +169,35 @@ def _write(base: str):
                 for i, (page, url, refers) in enumerate(zip(*(b.column(c).to_pylist() for c in ("page", "url", "refers")), strict=True)):
                     yield page, url or "", data[offs[i] : offs[i + 1]].tobytes(), refers
 
-        uri = f"{base}/part-{TaskContext.get().partitionId():05d}.wacz"
-        n = write_archive(uri, rows())
-        yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([n], pa.int64())], ["archive", "records"])
+        records, n = rows(), 0
+        for first in records:
+            uri = f"{base}/part-{TaskContext.get().partitionId():05d}-{n:05d}.wacz"
+            count = write_archive(uri, chain([first], records), limit)
+            n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([uri]), pa.array([count], pa.int64())], ["archive", "records"])
 
     return run
 
 
-def write_archives(df: DataFrame, base: str, page: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
-    """Write each row of df to an archive below base; returns (archive, records).
+def write_archives(df: DataFrame, base: str, page: str = "page_id", url: str = "url", payload: str = "html", least: int = 0, limit: int = 1 << 30) -> DataFrame:
+    """Write each row of df to an archive below base; returns (archive, records). An archive that
+    has reached `limit` bytes is closed and a new one begun, so its index stays small.
 
     Of rows whose payloads are equal and have at least `least` bytes, those with the smallest
     page id are responses, the others revisit it. A null payload is empty. A null page id is
     never referred to: it revisits a page that has an id, and is a response if there is none.
-    Equal rows are written each. An empty table gives archives without records or none.
+    Ids may be of any type that has an order; rows of one id and payload are responses all, if it
+    is the smallest. Equal rows are written each; other columns are not read. A payload is one
+    record, however long. An empty table gives no archives.
     """
-    rows = df.select(F.col(f"`{page}`").cast("long").alias("page_id"), F.col(f"`{url}`").alias("url"), F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8").alias("payload"))
+    rows = df.select(F.col(f"`{page}`").alias("page_id"), F.col(f"`{url}`").alias("url"), F.encode(F.coalesce(F.col(f"`{payload}`"), F.lit("")), "UTF-8").alias("payload"))
     keyed = rows.withColumn("digest", F.sha1("payload"))
     large = keyed.filter(F.octet_length("payload") >= least)
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 and first is not null").drop("n")
     # only narrow rows of repeated payloads meet by digest; the payloads move once, by page
     again = large.select("page_id", "digest").join(first, "digest").filter("not (page_id <=> first)").select(F.col("page_id").alias("of"), F.col("digest").alias("d"), "first").distinct()
     joined = keyed.join(again, keyed.page_id.eqNullSafe(again.of) & (keyed.digest == again.d), "left")
-    return joined.select(F.coalesce(F.col("page_id").cast("string"), F.lit("null")).alias("page"), "url", "payload", F.col("first").cast("string").alias("refers")).mapInArrow(_write(base), "archive string, records long")
+    return joined.select(F.col("page_id").cast("string").alias("page"), "url", "payload", F.col("first").cast("string").alias("refers")).mapInArrow(_write(base, limit), "archive string, records long")
 
 
 def _index(per_row: int):
@@ -187,6 +206,8 @@ def _index(per_row: int):
             for uri in b.column("archive").to_pylist():
                 with open_input(uri) as f:
                     found = members(f, _sizes(f))
+                    if DATA not in found or INDEX not in found:
+                        raise ValueError(f"{uri} has no stored {DATA} and {INDEX}; compressed members can't be read in ranges")
                     (data, _), (at, n) = found[DATA], found[INDEX]
                     f.seek(at)
                     lines = [json.loads(x) for x in f.read(n).splitlines()]
@@ -197,14 +218,10 @@ def _index(per_row: int):
     return run
 
 
-RECORD = "archive string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
+RECORD = "archive string, offset long, page_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string, payload binary"
 
 
 def _read(payloads: bool):
-    def page(x: str | None) -> int | None:
-        x = x and x.strip("<>").removeprefix("urn:page:")
-        return None if x in (None, "", "null") else int(x)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for uri, offset, length in zip(*(b.column(c).to_pylist() for c in ("archive", "offset", "length")), strict=True):
@@ -217,7 +234,7 @@ def _read(payloads: bool):
                         if h["warc-type"] == "response" and digest(payload) != told:
                             raise ValueError(f"{uri}: payload at {at} does not match its digest")
                         size = next(int(v) for k, _, v in (x.partition(b":") for x in http.split(b"\r\n")) if k.lower() == b"content-length")
-                        out.append((uri, at, page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], page(h.get("warc-refers-to")), size, told, payload if payloads else None))
+                        out.append((uri, at, urn_page(h["warc-record-id"]), h["warc-target-uri"], h["warc-type"], urn_page(h.get("warc-refers-to")), size, told, payload if payloads else None))
                 names = [x.split()[0] for x in RECORD.split(", ")]
                 kinds = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
                 yield pa.RecordBatch.from_arrays([pa.array(c, kinds[x.split()[1]]) for c, x in zip(zip(*out, strict=True), RECORD.split(", "), strict=True)], names)
@@ -225,15 +242,18 @@ def _read(payloads: bool):
     return run
 
 
-def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = True, per_row: int = 500) -> DataFrame:
+def read_archives(spark: SparkSession, archives: DataFrame, payloads: bool = True, per_row: int = 500, page_type="long") -> DataFrame:
     """Records of the archives (column archive): directories and indexes are read first, then the
-    ranges of `per_row` records at a time, dealt evenly however large an archive is."""
+    ranges of `per_row` records at a time, dealt evenly however large an archive is. Page ids are
+    cast to page_type. An archive whose members are compressed, or whose payloads do not match
+    their digests, is an error."""
     ranges = archives.select("archive").mapInArrow(_index(per_row), "archive string, offset array<long>, length array<long>")
-    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read(payloads), T._parse_datatype_string(RECORD))
+    out = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(_read(payloads), RECORD)
+    return out.withColumns({c: F.col(c).cast(page_type) for c in ("page_id", "refers_to")})
 
 
 def through_archives(df: DataFrame, payloads: bool = False, **names) -> DataFrame:
     """Write df to archives in the shared folder and read the records back."""
     spark = df.sparkSession
-    written = cut(write_archives(df, new_dir(spark, "archives"), **names).filter("records > 0"), "written")
-    return read_archives(spark, written, payloads)
+    written = cut(write_archives(df, new_dir(spark, "archives"), **names), "written")
+    return read_archives(spark, written, payloads, page_type=df.schema[names.get("page", "page_id")].dataType)
