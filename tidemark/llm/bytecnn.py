@@ -145,35 +145,37 @@ def _pieces(count: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offs = texts(b.column("text"))
-            ids, labels, outs = b.column("key").to_numpy(), b.column("label").to_numpy(), ([], [], [], [])
-            for i in range(len(ids)):
+            outs: list[list[bytes]] = []
+            for i in range(b.num_rows):
                 size = int(offs[i + 1] - offs[i])
-                starts = range(0, max(1, size - CHUNK + STEP), STEP)
-                n = len(starts)
-                for k in sorted({(2 * c + 1) * n // (2 * count) for c in range(count)}):
-                    x = data[offs[i] + starts[k] : min(offs[i] + starts[k] + CHUNK, offs[i + 1])]
-                    for out, v in zip(outs, (int(ids[i]), k, float(labels[i]), x.tobytes()), strict=True):
-                        out.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(outs, (pa.int64(), pa.int64(), pa.float64(), pa.binary()), strict=True)], ["key", "k", "label", "piece"])
+                n = len(range(0, max(1, size - CHUNK + STEP), STEP))
+                own = sorted({(2 * c + 1) * n // (2 * count) for c in range(count)})
+                outs.append([data[offs[i] + k * STEP : min(offs[i] + k * STEP + CHUNK, offs[i + 1])].tobytes() for k in own])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(outs, pa.list_(pa.binary()))], ["id", "label", "pieces"])
 
     return run
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", sample: int = 6000, pieces: int = 3, **shape) -> Network:
-    """Fit on at most `sample` labelled rows of docs (those of the smallest hash of their ids).
+    """Fit on at most `sample` labelled texts of docs (those of the smallest hash of their ids).
 
-    Rows with a null id, label or unlabelled ids are left out; a null text is an empty one; an id
-    labelled more than once counts with its mean label, rounded. One label only, or none, gives a
-    constant.
+    Ids may be of any type that both tables share. Rows with a null id, label or unlabelled ids
+    are left out; a null text is an empty one; of several rows with one id the one with the least
+    text counts, and an id labelled more than once counts with its mean label, rounded. So at most
+    sample * pieces pieces of 512 bytes reach the driver, however long texts are and however often
+    an id stands. One label only, or none (an empty table), gives a constant.
     """
     own = labels.filter(F.col(f"`{id_col}`").isNotNull() & F.col(f"`{label}`").isNotNull())
-    own = own.groupBy(F.col(f"`{id_col}`").cast("long").alias("id")).agg(F.round(F.avg(f"`{label}`")).alias("label"))
-    ids = docs.select(F.col(f"`{id_col}`").cast("long").alias("id")).distinct().join(own, "id").orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = own.groupBy(F.col(f"`{id_col}`").cast("string").alias("id")).agg(F.round(F.avg(f"`{label}`")).alias("label"))
+    named = docs.select(F.col(f"`{id_col}`").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
+    ids = named.select("id").distinct().join(own, "id").orderBy(F.xxhash64("id"), "id").limit(sample)
     # at most `sample` rows: a bound that the data can't change
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).join(F.broadcast(ids), "id")
-    got = rows.select(F.col("id").alias("key"), F.col("label").cast("double").alias("label"), "text").mapInArrow(_pieces(pieces), "key long, k long, label double, piece binary").collect()
-    got = sorted(got, key=lambda r: (r.key, r.k, bytes(r.piece)))
-    return Network(**shape).fit([bytes(r.piece) for r in got], np.array([r.label for r in got]))
+    rows = named.join(F.broadcast(ids), "id")
+    got = rows.select("id", F.col("label").cast("double").alias("label"), "text").mapInArrow(_pieces(pieces), "id string, label double, pieces array<binary>")
+    # one text for each id, chosen before anything is collected
+    got = got.groupBy("id").agg(F.min(F.struct("pieces", "label")).alias("x")).select("id", "x.*").collect()
+    got = [(bytes(x), r.label) for r in sorted(got, key=lambda r: r.id) for x in r.pieces]
+    return Network(**shape).fit([x for x, _ in got], np.array([y for _, y in got]))
 
 
 def _score(network):
@@ -192,7 +194,12 @@ def _score(network):
 
 
 def score_quality(df: DataFrame, network: Network, text: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(row, score) for each row of df, from its text alone (null: empty); equal texts score equally."""
+    """(row, score) for each row of df, from its text alone (null: empty); equal texts score equally.
+
+    Ids are not read, so they may be null, repeated or of any type; row holds the carried columns,
+    whatever their names; a very long text is scored whole, half a megabyte at a time; an empty
+    table gives an empty one.
+    """
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     kinds = T.StructType([rows.schema["row"], T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(_score(df.sparkSession.sparkContext.broadcast(network)), kinds)
