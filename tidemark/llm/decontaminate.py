@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .words import U, chunks, mix, pair, span_hashes, window_hashes
 
@@ -280,7 +281,9 @@ def join_runs(t: Tokens, d: int, places: np.ndarray, items: Items, i: int, at: n
     return len(j), int(slot.sum()), refilled, int(p[0] - t.at[d])
 
 
-def _scan(shared, least_share: float, least_run: int, long_run: int):
+def _scan(shared, kind: pa.DataType, least_share: float, least_run: int, long_run: int):
+    leak = pa.list_(pa.struct([("item_id", kind), ("share", pa.float64()), ("tokens", pa.int64()), ("slots", pa.int64()), ("refilled", pa.int64()), ("start", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: Items = shared.value
         for b in batches:
@@ -308,41 +311,42 @@ def _scan(shared, least_share: float, least_run: int, long_run: int):
                         covered, slots, refilled, start = got
                         found.setdefault(d, []).append({"item_id": items.ids[i], "share": covered / int(items.counts[i]), "tokens": covered, "slots": slots, "refilled": refilled, "start": start})
                 leaks += [found.get(d, []) for d in range(len(w.offs) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(leaks, LEAKS)], ["row", "leaks"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(leaks, leak)], ["row", "leaks"])
 
     return run
 
 
-LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64()), ("tokens", pa.int64()), ("slots", pa.int64()), ("refilled", pa.int64()), ("start", pa.int64())]))
-LEAK_TYPE = "array<struct<item_id: bigint, share: double, tokens: bigint, slots: bigint, refilled: bigint, start: bigint>>"
-
-
 def find_leaks(df: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, least_share: float = 0.5, least_run: int = 5, part_bytes: int = 8 << 20, carry: list[str] | None = None, long_run: int = 50) -> DataFrame:
     """(row, leaks) for each row of df: leaks lists the benchmark items that it holds, with the
     share of the item covered, tokens covered, its slots and those filled anew, and the first token.
 
     Items are sent to the workers in parts of at most part_bytes of text, whose sizes are measured
     first; a text meets each part in a pass of its own, so no size of the benchmark goes beyond
-    memory. Null or empty texts and items leak nothing; items of equal text are all listed; equal
-    rows get equal results; an empty table gives an empty one. Items of fewer tokens than
+    memory. Null or empty texts and items leak nothing; item ids may be of any type, repeated or
+    null, and are listed as they are; items of equal text are all listed; equal rows get equal
+    results; an empty table gives an empty one; the columns of df stand in the struct row,
+    whatever their names; a text is read whole, by one worker. Items of fewer tokens than
     least_run leak if all of them are there; a run of long_run tokens leaks whatever its share.
     """
     spark = df.sparkSession
-    items = benchmark.select(F.col(f"`{item_id}`").cast("long").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null and id is not null").distinct()
+    items = benchmark.select(F.col(f"`{item_id}`").alias("id"), F.col(f"`{item_text}`").alias("text")).filter("text is not null").distinct()
+    kind = to_arrow_type(items.schema["id"].dataType)
+    leaks = T.StructType([T.StructField(k, t) for k, t in [("item_id", items.schema["id"].dataType), ("share", T.DoubleType()), *((x, T.LongType()) for x in ("tokens", "slots", "refilled", "start"))]])
+    leaks = T.StructField("leaks", T.ArrayType(leaks))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-int(total) // part_bytes))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
-    kinds = T.StructType([rows.schema["row"], *T._parse_datatype_string(f"leaks {LEAK_TYPE}").fields])
+    kinds = T.StructType([rows.schema["row"], leaks])
     out = None
     for k in range(parts):
         own = items.filter(F.pmod(F.xxhash64("id", "text"), parts) == k).orderBy("id", "text").collect()
         shared = spark.sparkContext.broadcast(Items([r.id for r in own], [r.text for r in own], window))
         if out is not None:
             rows = out.select(F.struct("row", "leaks").alias("row"), "text")
-            kinds = T.StructType([rows.schema["row"], *T._parse_datatype_string(f"leaks {LEAK_TYPE}").fields])
+            kinds = T.StructType([rows.schema["row"], leaks])
         found = rows.select(F.struct("row", "text").alias("row"), "text") if parts > 1 else rows
-        kinds = T.StructType([found.schema["row"], *T._parse_datatype_string(f"leaks {LEAK_TYPE}").fields])
-        found = found.mapInArrow(_scan(shared, least_share, least_run, long_run), kinds)
+        kinds = T.StructType([found.schema["row"], leaks])
+        found = found.mapInArrow(_scan(shared, kind, least_share, least_run, long_run), kinds)
         if parts == 1:
             return found
         if out is None:
