@@ -123,12 +123,14 @@ def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least:
     A row is a licence file if its name says so or licence units hold `file_share` of its
     characters: lines and tags, or paragraphs of `least_whole`, or a long licence. license is the own one, else that of the nearest directory
     above. Null or empty texts and paths have none of their own; a null path inherits nothing;
-    equal rows get equal results; an empty table gives an empty one.
+    equal rows get equal results; an empty table gives an empty one; the columns of
+    df stand in the struct row, whatever their names; texts are read whole, whatever their length.
     """
     spark = df.sparkSession
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{path}`").alias("path"))
     body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
     cued = rows.filter(body.rlike(CUE)).select(F.xxhash64("path", body).alias("rk"), F.length(body).alias("chars"), "path", body.alias("body")).dropDuplicates(["rk"])
+    cued = cut(cued, "cued")
     with_cue = lambda x: F.filter(x, lambda u: u.rlike(CUE + "|(?i)neither the name"))
     kinds = {"line": F.filter(units(F.col("body")), lambda u: u.rlike(CUE)), **{k: with_cue(x) for k, x in joined_units(F.col("body"))}}
     lists = cued.select("rk", *[x.alias(k) for k, x in kinds.items()])
@@ -157,7 +159,7 @@ def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least:
     covers = held.groupBy("rk").agg(F.greatest(part("line", least), part("paragraph", least_whole), part("text", least_whole)).alias("covered"))
     long = cued.select("rk", F.length(F.regexp_extract("body", LONG_TEXT, 0)).alias("long"))
     covers = covers.join(long, "rk").select("rk", F.greatest("covered", "long").alias("covered"))
-    own = best.join(covers, "rk").select("rk", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("own_score"), "covered")
+    own = cut(best.join(covers, "rk").select("rk", F.col("b.license").alias("own_license"), (-F.col("b.less")).alias("own_score"), "covered"), "own")
     # directories with a licence file: of several the best scored
     above = lambda p: F.regexp_replace(p, r"/?[^/]*$", "")
     files = own.join(cued.select("rk", "chars", "path"), "rk").filter(F.col("path").isNotNull() & (F.col("path").rlike(LICENSE_FILE) | (F.col("covered") >= F.col("chars") * file_share)))
@@ -169,6 +171,7 @@ def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least:
     chain = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     near = dirs.select("dir", F.posexplode(chain).alias("depth", "license_dir")).join(grants, "license_dir").groupBy("dir").agg(F.max(F.struct("depth", "license_dir", "granted")).alias("n"))
     near = near.select("dir", F.col("n.license_dir").alias("license_dir"), F.col("n.granted").alias("granted"))
-    out = rows.withColumn("rk", F.when(body.rlike(CUE), F.xxhash64("path", body))).withColumn("dir", above(F.col("path")))
+    # every row has keys of its own, so rows without a cue or a path do not meet in one task
+    out = rows.withColumn("rk", F.xxhash64("path", body)).withColumn("dir", F.coalesce(above(F.col("path")), F.concat(F.lit("\0"), F.xxhash64(body).cast("string"))))
     out = out.join(own, "rk", "left").join(near, "dir", "left")
     return out.select("row", "path", "own_license", "own_score", F.when(F.col("own_license").isNull(), F.col("license_dir")).alias("license_dir"), F.coalesce("own_license", "granted").alias("license"))
