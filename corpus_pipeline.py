@@ -13,27 +13,41 @@ from tidemark.llm.decontaminate import find_leaks
 from tidemark.llm.hostrules import host_rules
 from tidemark.llm.mixing import mix_by_weight
 from tidemark.llm.neardup import near_duplicates
-from tidemark.llm.shared import cut
+from tidemark.llm.shared import cut, row_key
 from tidemark.llm.substrings import remove_repeated_windows
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host passes."""
+    """Documents that pass the rules and whose host passes.
+
+    A null text fails; a null source is a host of its own; equal rows stay or go together; an
+    empty table gives an empty one.
+    """
     return host_rules(docs).filter("kept").select("row.*")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each near-duplicate class.
+    """One document of each near-duplicate class: the one with the smallest id, null ids last; of
+    several with that id the one with the smallest row key.
 
-    Of equal rows one stays. Rows without an id can't be told apart and stay.
+    Rows are told apart by all their columns, so a repeated id is no obstacle. Texts without words
+    are no duplicates of each other, but of equal rows one stays. An empty table gives an empty one.
     """
-    first = cut(near_duplicates(docs).select("class_id").filter("class_id is not null").distinct(), "firsts")
-    named = docs.join(first, docs.doc_id == first.class_id, "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.unionByName(docs.filter("doc_id is null"))
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    keyed = docs.withColumn(key, row_key(docs.columns))
+    found = near_duplicates(keyed.select("doc_id", "text", key), carry=[key])
+    group = F.coalesce(F.col("class").cast("string"), F.col(f"row.{key}"))
+    first = found.groupBy(group.alias("of")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", f"row.{key}")).alias("f"))
+    return keyed.dropDuplicates([key]).join(cut(first.select(f"f.{key}"), "firsts"), key, "left_semi").select(*[f"`{c}`" for c in docs.columns])
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 35 words that stand more than once; n_chars follows the text."""
+    """Texts without the windows of 35 words that stand more than once; n_chars follows the text.
+
+    All rows stay, those with null or short texts as they are; equal rows are repeats of each other.
+    """
     out = remove_repeated_windows(docs, 35)
     text = F.coalesce("kept_text", "row.text")
     changed = {"text": text, "n_chars": F.when(F.col("kept_text").isNull(), F.col("row.n_chars")).otherwise(F.length("kept_text")) if "n_chars" in docs.columns else None}
@@ -41,15 +55,19 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item. Null texts hold none; an empty benchmark keeps all."""
     return find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).filter(F.size("leaks") == 0).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with size, source_size, target and taken (words)."""
-    added = ["size", "source_size", "target", "taken"]
+    """Documents that the mix takes, with size, source_size, target and taken (words).
+
+    Texts without words are not taken. Where docs has a column of such a name, the added one has
+    `_mixed` behind its name.
+    """
     out = mix_by_weight(docs).filter("taken > 0")
-    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in added], *added)
+    added = [F.col(c).alias(c if c not in docs.columns else f"{c}_mixed") for c in ("size", "source_size", "target", "taken")]
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns], *added)
 
 
 STAGES = [
