@@ -6,6 +6,8 @@ advance one byte at a time.
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -90,12 +92,39 @@ def little(c, n: int):
 
 
 def record_body(lsn, op, key, value, prev_hash):
-    """Bytes of a record that its checksum covers: op, lsn, previous hash, lengths, key, value."""
+    """Bytes of a record that its checksum covers: the length behind that field (checksum
+    included), number, operation, lengths of key and value, previous hash, key, value."""
     v = F.coalesce(value, F.lit(b""))
-    return F.concat(little(op, 1), little(lsn, 8), little(prev_hash, 8), little(F.octet_length(key), 4), little(F.octet_length(v), 4), key, v)
+    length = F.octet_length(key) + F.octet_length(v) + 29
+    return F.concat(little(length, 4), little(lsn, 8), little(op, 1), little(F.octet_length(key), 4), little(F.octet_length(v), 4), little(prev_hash, 8), key, v)
 
 
 def record_hash(lsn, op, key, value, prev_hash):
     """CRC64 of the record with its CRC32C behind it."""
     body = record_body(lsn, op, key, value, prev_hash)
     return crc64(F.concat(body, little(crc32c(body), 4)))
+
+
+_LOW, _HIGH = LOW.tolist(), HIGH.tolist()
+
+
+def crc32c_one(data: bytes) -> int:
+    """Of one value; many at once go through crc32c_of."""
+    c = 0xFFFFFFFF
+    for b in data:
+        c = _LOW[(c ^ b) & 0xFF] ^ (c >> 8)
+    return c ^ 0xFFFFFFFF
+
+
+def crc64_one(data: bytes) -> int:
+    c = 0
+    for b in data:
+        c = _HIGH[(c >> 56) ^ b] ^ (c << 8 & 0xFFFFFFFFFFFFFFFF)
+    return c
+
+
+def encode_record(lsn: int, op: int, key: bytes, value: bytes, prev_hash: int) -> bytes:
+    """A whole record, as record_body with its checksum."""
+    head = struct.pack("<IQBIIQ", 29 + len(key) + len(value), lsn, op, len(key), len(value), prev_hash)
+    body = head + key + value
+    return body + struct.pack("<I", crc32c_one(body))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.checksums import crc32c_of, crc64_of
+from ..functions.checksums import crc64_one, encode_record
 from ..functions.scalars import MAX_GROUP
 
 MAX_GROUP_BYTES = 8 << 20
@@ -39,11 +39,20 @@ def gaps(changes: DataFrame, base: int = 0, step: int = 1_000_000) -> DataFrame:
     return inside.unionByName(edges.filter("lo > before + 1").select(F.col("before").alias("after_lsn"), F.col("lo").alias("next_lsn")))
 
 
-def broken_links(log: DataFrame, base_hash: int = 0) -> DataFrame:
-    """Records whose prev_hash is not the hash of the record before (an equi-join by number)."""
+def broken_links(log: DataFrame, base_hash: int = 0, starts: DataFrame | None = None) -> DataFrame:
+    """Records whose prev_hash is not the hash of the record before (an equi-join by number).
+
+    starts (lsn, base) tells where chains begin and what the first record links to; without it
+    one chain begins at number 1.
+    """
     before = log.select((F.col("lsn") + 1).alias("lsn"), F.col("record_hash").alias("expected"))
-    first = F.when(F.col("lsn") == 1, F.lit(base_hash).cast("long"))
-    return log.join(before, "lsn", "left").filter(~F.col("prev_hash").eqNullSafe(F.coalesce("expected", first))).select("lsn", "prev_hash", "expected")
+    rows = log.join(before, "lsn", "left")
+    if starts is None:
+        first = F.when(F.col("lsn") == 1, F.lit(base_hash).cast("long"))
+        rows = rows.withColumn("expected", F.coalesce("expected", first))
+    else:
+        rows = rows.join(starts, "lsn", "left").withColumn("expected", F.coalesce("base", "expected"))
+    return rows.filter(~F.col("prev_hash").eqNullSafe(F.col("expected"))).select("lsn", "prev_hash", "expected")
 
 
 def footers(changes: DataFrame, size: int = MAX_GROUP) -> DataFrame:
@@ -53,6 +62,41 @@ def footers(changes: DataFrame, size: int = MAX_GROUP) -> DataFrame:
     return out.withColumn("whole", (F.col("last_lsn") - F.col("first_lsn") + 1 == F.col("count")) & F.col("count").between(1, size))
 
 
+def footer_checks(records: DataFrame, ends: DataFrame, size: int = MAX_GROUP) -> DataFrame:
+    """(first_lsn, last_lsn, error) of footers (first_lsn, last_lsn, count, last_record_hash): why
+    one does not close its records (lsn, record_hash), or null.
+
+    Records meet their footer by number: each footer names its numbers, at most `size` of them, so
+    no window runs over the log. Records that no footer names are an open tail.
+    """
+    f, l, c = F.col("first_lsn"), F.col("last_lsn"), F.col("count")
+    sane = c.between(1, size) & (l - f + 1 == c)
+    named = ends.withColumn("sane", sane).withColumn("lsn", F.explode_outer(F.when(sane, F.sequence(f, l))))
+    got = named.join(records.select("lsn", "record_hash"), "lsn", "left").groupBy("first_lsn", "last_lsn", "count", "last_record_hash", "sane").agg(
+        F.count("record_hash").alias("there"), F.max_by("record_hash", "lsn").alias("mark"))
+    error = F.when(~F.col("sane"), "bad count or range").when(F.col("there") != c, "records are missing").when(F.col("mark") != F.col("last_record_hash"), "hash differs")
+    return got.select("first_lsn", "last_lsn", error.alias("error"))
+
+
+def slice_answer(cursor, base, durable):
+    """What a reader at a cursor gets of a log that holds (base, durable]: 'reclaimed', 'ahead' or 'records'."""
+    return F.when(cursor < base, "reclaimed").when(cursor > durable, "ahead").otherwise("records")
+
+
+def hash_at(log: DataFrame, asked: DataFrame) -> DataFrame:
+    """(lsn, record_hash) of asked numbers; null where the log does not hold them, 0 for 0."""
+    out = asked.select("lsn").distinct().join(log.select("lsn", "record_hash"), "lsn", "left")
+    return out.select("lsn", F.when(F.col("lsn") == 0, 0).otherwise(F.col("record_hash")).alias("record_hash"))
+
+
+def ack_errors(acks: DataFrame, sent: DataFrame) -> DataFrame:
+    """(replica, lsn, error) of acknowledgements (replica, lsn, applied_lsn, record_hash) that do
+    not match a record sent (lsn, record_hash): null if one does."""
+    out = acks.join(sent.select("lsn", F.col("record_hash").alias("sent_hash")), "lsn", "left")
+    error = F.when(F.col("sent_hash").isNull(), "not sent").when(F.col("applied_lsn") != F.col("lsn"), "not applied").when(F.col("sent_hash") != F.col("record_hash"), "hash differs")
+    return out.select("replica", "lsn", error.alias("error"))
+
+
 def committed_prefix(records: DataFrame) -> DataFrame:
     """Records that a footer closes; records has lsn and closed (a footer stands behind it)."""
     last = records.filter("closed").agg(F.max("lsn").alias("upto"))
@@ -80,6 +124,12 @@ def pack(jobs: DataFrame, most: int = MAX_GROUP, most_bytes: int = MAX_GROUP_BYT
     return rows.mapInPandas(run, f"{writer} {dict(jobs.dtypes)[writer]}, job long, records long, bytes long, group_id long")
 
 
+def chain_step(lsn: int, op: int, key: bytes, value: bytes | None, before: int) -> int:
+    """The hash of a record behind one with the hash `before` (signed, as stored)."""
+    x = crc64_one(encode_record(lsn, op, key, value or b"", before % 2**64))
+    return x - 2**64 if x >= 2**63 else x
+
+
 def chained(changes: list[tuple], base_lsn: int = 0, base_hash: int = 0) -> list[tuple]:
     """(lsn, op, key, value, prev_hash, record_hash) of one commit's changes (op, key, value).
 
@@ -88,9 +138,6 @@ def chained(changes: list[tuple], base_lsn: int = 0, base_hash: int = 0) -> list
     """
     out, h = [], base_hash
     for i, (op, key, value) in enumerate(changes, base_lsn + 1):
-        v = value or b""
-        body = bytes([op]) + i.to_bytes(8, "little") + (h % 2**64).to_bytes(8, "little") + len(key).to_bytes(4, "little") + len(v).to_bytes(4, "little") + key + v
-        mark = int(crc64_of([body + int(crc32c_of([body])[0]).to_bytes(4, "little")])[0])
-        out.append((i, op, key, value, h, mark - 2**64 if mark >= 2**63 else mark))
-        h = out[-1][-1]
+        before, h = h, chain_step(i, op, key, value, h)
+        out.append((i, op, key, value, before, h))
     return out

@@ -24,3 +24,15 @@ def recovery_base(snapshots: list[tuple[int, bool]], first_lsn: int, contiguous_
         if whole and contiguous_after(lsn):
             return lsn
     return 0 if first_lsn <= 1 and contiguous_after(0) else None
+
+
+def greet(same_cluster: bool, replica: int, durable: int, known: int | None, mark: int) -> str:
+    """The same decision for one replica, from the hash that the primary has at its number (None
+    if that is reclaimed) and the one it sent."""
+    if not same_cluster:
+        return "cluster mismatch"
+    if replica > durable:
+        return "replica ahead"
+    if known is None:
+        return "snapshot"
+    return "stream" if known == mark else "history differs"
