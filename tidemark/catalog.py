@@ -6,7 +6,7 @@ telemetry takes events.value as a latency and user_id mod 3 as the node.
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,7 +30,9 @@ ns AS (SELECT event_id, event_type, user_id, 'n' || (user_id % 3) AS node, floor
 runs AS (SELECT source_rank, key, op, value, lsn, 4 - source_rank AS id, CASE WHEN source_rank < 3 THEN 0 ELSE 1 END AS level FROM (SELECT m.*, 3 - least(3, (lsn - 1) * 4 // (SELECT max(lsn) FROM m)) AS source_rank FROM m)
  QUALIFY row_number() OVER (PARTITION BY source_rank, key ORDER BY lsn DESC) = 1),
 part AS (SELECT id, level, count(*) AS entry_count, min(key) AS min_key, max(key) AS max_key FROM
- (SELECT 10 + (lsn - 1) // 500 AS id, CASE WHEN (lsn - 1) // 500 % 3 = 0 THEN 0 ELSE 1 END AS level, 'k' || lpad((lsn * 7 % 1000)::VARCHAR, 8, '0') AS key FROM m WHERE lsn <= 5000) GROUP BY ALL),
+ (SELECT 10 + (lsn - 1) // 500 AS id, CASE WHEN (lsn - 1) // 500 % 3 = 0 THEN 0 ELSE 1 END AS level, 'k' || lpad((lsn * 7 % 1000)::VARCHAR, 8, '0') AS key FROM m) GROUP BY ALL),
+cutoff AS (SELECT (max(lsn) * 95 // 100)::BIGINT AS mark FROM m),
+hs AS (SELECT lsn, ('0x' || substr(md5(key || lsn), 1, 15))::BIGINT AS record_hash FROM m),
 prog AS (SELECT 'r' || (user_id % 5) AS node_id, max(event_id + 1) - 3 * (user_id % 5) AS applied_lsn, user_id % 5 <> 4 AS connected FROM events GROUP BY user_id % 5),
 bench AS (SELECT l_returnflag AS mix, l_linestatus AS build, l_quantity AS q FROM lineitem)
 """
@@ -70,7 +72,7 @@ def runs(spark, d) -> DataFrame:
 
 
 def run_tables(spark, d) -> DataFrame:
-    m = log(spark, d).filter("lsn <= 5000")
+    m = log(spark, d)
     id_ = F.floor((F.col("lsn") - 1) / 500)
     return maintenance.run_tables(m.select((id_ + 10).alias("id"), F.when(id_ % 3 == 0, 0).otherwise(1).alias("level"), S.key_text("k", F.col("lsn") * 7 % 1000).alias("key")))
 
@@ -156,15 +158,31 @@ def overlay_read(spark, d):
     return kv.overlay(kv.live(log(spark, d)), pending)
 
 
-@query(", s AS (SELECT * FROM m WHERE lsn <= 950 QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1) SELECT key, value FROM s WHERE op = 1")
+def snapshot_at(spark, d) -> int:
+    """The number that 95 % of the log stand at or before (one row)."""
+    return log(spark, d).agg(F.floor(F.max("lsn") * 95 / 100)).first()[0]
+
+
+SNAPSHOT = ", s AS (SELECT * FROM m WHERE lsn <= (SELECT mark FROM cutoff) QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1)"
+
+
+@query(SNAPSHOT + " SELECT key, value FROM s WHERE op = 1")
 def snapshot_state(spark, d):
-    return kv.state_at(log(spark, d), 950)
+    return kv.state_at(log(spark, d), snapshot_at(spark, d))
+
+
+@query(", s AS (SELECT * FROM m WHERE lsn <= (SELECT max(lsn) * 9 // 10 FROM m) QUALIFY row_number() OVER (PARTITION BY key ORDER BY lsn DESC) = 1) SELECT key, value FROM s WHERE op = 1")
+def flush_boundary_state(spark, d):
+    """What sorted runs hold if the log is flushed up to nine tenths."""
+    m = log(spark, d)
+    flushed = m.agg(F.floor(F.max("lsn") * 9 / 10)).first()[0]
+    return kv.live(m.filter(F.col("lsn") <= flushed))
 
 
 @query("SELECT key, value FROM live")
 def snapshot_plus_tail(spark, d):
-    m = log(spark, d)
-    return kv.replay(kv.state_at(m, 950), 950, m)
+    m, at = log(spark, d), snapshot_at(spark, d)
+    return kv.replay(kv.state_at(m, at), at, m)
 
 
 @query("SELECT key, count(*) AS n FROM m GROUP BY key HAVING count(*) > 1")
@@ -172,11 +190,48 @@ def duplicate_keys(spark, d):
     return kv.duplicate_keys(log(spark, d))
 
 
-@query("SELECT 0::BIGINT AS differing, true AS equal")
+@query(SNAPSHOT + """, b AS (SELECT key, value FROM s WHERE op = 1)
+SELECT count(*) AS differing, count(*) = 0 AS equal FROM ((FROM live EXCEPT ALL FROM b) UNION ALL (FROM b EXCEPT ALL FROM live))""")
 def relation_equal(spark, d):
+    """The live state against that of the snapshot, which lacks the last changes."""
+    return kv.same_relation(latest_state(spark, d), snapshot_state(spark, d))
+
+
+@query(""", c AS (SELECT key, value FROM runs QUALIFY row_number() OVER (PARTITION BY key ORDER BY source_rank) = 1 AND op = 1)
+SELECT count(*) AS differing, count(*) = 0 AS equal FROM ((FROM live EXCEPT ALL FROM c) UNION ALL (FROM c EXCEPT ALL FROM live))""")
+def relation_equal_after_compaction(spark, d):
     return kv.same_relation(latest_state(spark, d), compaction_output(spark, d))
 
 
+LE = "printf('%02x%02x%02x%02x', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+
+
+@query(f""", p AS (SELECT key, value FROM live WHERE key >= 'user:00000010' ORDER BY key LIMIT 13)
+SELECT {LE.format("count(*)")} || (SELECT CASE WHEN count(*) > 13 THEN '01' ELSE '00' END FROM live WHERE key >= 'user:00000010')
+ || string_agg({LE.format("strlen(key)")} || {LE.format("strlen(value)")} || lower(hex(encode(key))) || lower(hex(encode(value))), '' ORDER BY key) AS page FROM p""")
+def page_codec(spark, d):
+    """A page as the bytes that a client is sent."""
+    return kv.page_bytes(scan_page_more(spark, d)).select(F.lower(F.hex("page")).alias("page"))
+
+
+@query(", r AS (SELECT lsn AS place, 'k' || lpad((CASE WHEN lsn % 100 = 0 THEN lsn - 2 ELSE lsn END)::VARCHAR, 9, '0') AS key FROM m) SELECT place, key, before FROM (SELECT *, lag(key) OVER (ORDER BY place) AS before FROM r) WHERE key <= before")
+def ascending_check(spark, d):
+    """Every hundredth key of a run is out of order on purpose."""
+    lsn = F.col("lsn")
+    return kv.not_ascending(log(spark, d).select(lsn.alias("place"), S.key_text("k", F.when(lsn % 100 == 0, lsn - 2).otherwise(lsn), 9).alias("key")))
+
+
+@query("SELECT count(*) AS entries, (SELECT count(*) FROM (SELECT key FROM m GROUP BY key HAVING count(*) > 1)) AS repeated, 'duplicate key' AS error FROM m")
+def snapshot_check_repeated(spark, d):
+    """The log's pairs are no state: keys repeat."""
+    return kv.state_errors(log(spark, d).select("key", "value"), 1)
+
+
+@query("SELECT count(*) AS entries, 0::BIGINT AS repeated, CASE WHEN count(*) <> 1 THEN 'entry count differs' END AS error FROM live")
+def snapshot_check_count(spark, d):
+    return kv.state_errors(latest_state(spark, d), 1)
+
+
 # change log
 
 
@@ -200,16 +255,84 @@ def committed_prefix(spark, d):
     return changelog.committed_prefix(log(spark, d).withColumn("closed", F.col("lsn") % 64 == 0)).select("lsn", "op", "key")
 
 
-@query(", h AS (SELECT lsn, md5(key || lsn) AS h FROM m) SELECT a.lsn FROM h a JOIN h b ON b.lsn = a.lsn - 1 WHERE a.lsn % 250 = 0")
+def hashes(spark, d) -> DataFrame:
+    """(lsn, record_hash): a hash of each change that both engines have."""
+    return log(spark, d).select("lsn", F.conv(F.substring(F.md5(F.concat("key", F.col("lsn").cast("string"))), 1, 15), 16, 10).cast("long").alias("record_hash"))
+
+
+@query("SELECT a.lsn FROM hs a JOIN hs b ON b.lsn = a.lsn - 1 WHERE a.lsn % 250 = 0")
 def chain_breaks(spark, d):
     """Every 250th link is broken on purpose."""
-    h = log(spark, d).select("lsn", F.conv(F.substring(F.md5(F.concat("key", F.col("lsn").cast("string"))), 1, 15), 16, 10).cast("long").alias("record_hash"))
+    h = hashes(spark, d)
     before = h.select((F.col("lsn") + 1).alias("lsn"), F.col("record_hash").alias("prev_hash"))
     chain = h.join(before, "lsn", "left").withColumn("prev_hash", F.coalesce("prev_hash", F.lit(0)) + F.when(F.col("lsn") % 250 == 0, 1).otherwise(0))
     return changelog.broken_links(chain).select("lsn")
 
 
-@query()
+@query("SELECT c_custkey * 10 AS cursor, CASE WHEN c_custkey * 10 < 500 THEN 'reclaimed' WHEN c_custkey * 10 > (SELECT max(lsn) FROM m) THEN 'ahead' ELSE 'records' END AS answer FROM customer")
+def slice_answers(spark, d):
+    """What readers at many places get of a log reclaimed up to 500."""
+    last = log(spark, d).agg(F.max("lsn").alias("last"))
+    cursor = F.col("c_custkey") * 10
+    return table(spark, d, "customer").join(F.broadcast(last)).select(cursor.alias("cursor"), changelog.slice_answer(cursor, F.lit(500), F.col("last")).alias("answer"))
+
+
+@query("SELECT a.lsn, CASE WHEN a.lsn = 0 THEN 0 ELSE hs.record_hash END AS record_hash FROM (SELECT DISTINCT (c_custkey - 1) * 7 AS lsn FROM customer) a LEFT JOIN hs ON hs.lsn = a.lsn")
+def record_hash_at(spark, d):
+    return changelog.hash_at(hashes(spark, d), table(spark, d, "customer").select(((F.col("c_custkey") - 1) * 7).alias("lsn")))
+
+
+FOOTERS = """, g AS (SELECT (lsn - 1) // 64 AS g, min(lsn) AS first_lsn, max(lsn) AS last_lsn, count(*) AS n, arg_max(record_hash, lsn) AS mark FROM hs GROUP BY 1),
+f AS (SELECT g, first_lsn, last_lsn, CASE WHEN g % 10 = 3 THEN n + 1 ELSE n END AS c, CASE WHEN g % 10 = 5 THEN mark + 1 ELSE mark END AS mark2, mark, n FROM g),
+lost AS (SELECT DISTINCT (lsn - 1) // 64 AS g FROM hs WHERE lsn % 1009 = 0)"""
+
+
+@query(FOOTERS + """ SELECT first_lsn, last_lsn, CASE WHEN c NOT BETWEEN 1 AND 64 OR c <> n THEN 'bad count or range' WHEN g IN (FROM lost) THEN 'records are missing' WHEN mark2 <> mark THEN 'hash differs' END AS error FROM f""")
+def footer_checks(spark, d):
+    """Footers of groups of 64; some count wrongly, some name another hash, some records are lost."""
+    h = hashes(spark, d)
+    g = F.floor((F.col("lsn") - 1) / 64)
+    ends = h.groupBy(g.alias("g")).agg(F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"), F.count("*").alias("n"), F.max_by("record_hash", "lsn").alias("mark"))
+    ends = ends.select("first_lsn", "last_lsn", (F.col("n") + F.when(F.col("g") % 10 == 3, 1).otherwise(0)).alias("count"), (F.col("mark") + F.when(F.col("g") % 10 == 5, 1).otherwise(0)).alias("last_record_hash"))
+    return changelog.footer_checks(h.filter("lsn % 1009 <> 0"), ends)
+
+
+@query("""SELECT replica, lsn, CASE WHEN sent IS NULL THEN 'not sent' WHEN applied_lsn <> lsn THEN 'not applied' WHEN sent <> ack THEN 'hash differs' END AS error FROM
+ (SELECT 'r' || (m.lsn % 5) AS replica, m.lsn, m.lsn - CASE WHEN m.lsn % 17 = 0 THEN 1 ELSE 0 END AS applied_lsn, record_hash + CASE WHEN m.lsn % 19 = 0 THEN 1 ELSE 0 END AS ack,
+  CASE WHEN m.lsn % 13 <> 0 THEN record_hash END AS sent FROM m JOIN hs USING (lsn) WHERE m.lsn % 3 = 0)""")
+def ack_match(spark, d):
+    """Acknowledgements of every third record; some name other hashes or numbers, some were never sent."""
+    h, lsn = hashes(spark, d), F.col("lsn")
+    acks = h.filter("lsn % 3 = 0").select(F.concat(F.lit("r"), (lsn % 5).cast("string")).alias("replica"), "lsn", (lsn - F.when(lsn % 17 == 0, 1).otherwise(0)).alias("applied_lsn"), (F.col("record_hash") + F.when(lsn % 19 == 0, 1).otherwise(0)).alias("record_hash"))
+    return changelog.ack_errors(acks, h.filter("lsn % 13 <> 0"))
+
+
+@query("""SELECT c_custkey AS replica, CASE WHEN a > (SELECT max(lsn) FROM m) THEN 'replica ahead' WHEN a <= 300 THEN 'snapshot' WHEN c_custkey % 6 = 0 THEN 'history differs' ELSE 'stream' END AS decision
+FROM (SELECT c_custkey, (c_custkey - 1) * 9 AS a FROM customer)""")
+def history_check(spark, d):
+    """Replicas at many places; every sixth has another hash there. The log begins behind 300."""
+    h, a = hashes(spark, d), (F.col("c_custkey") - 1) * 9
+    mine = table(spark, d, "customer").select(F.col("c_custkey").alias("replica"), a.alias("lsn")).join(h, "lsn", "left")
+    mine = mine.withColumn("record_hash", F.coalesce("record_hash", F.lit(0)) + F.when(F.col("replica") % 6 == 0, 1).otherwise(0))
+    last = h.agg(F.max("lsn").alias("last"))
+    return maintenance.history_check(mine.join(F.broadcast(last)), h.filter("lsn > 300"), F.lit(300), F.col("last"))
+
+
+@query(""", w AS (SELECT lsn FROM m WHERE lsn % 50 = 0), r AS (SELECT unnest(range(5)) AS r)
+SELECT lsn, count(*) FILTER ((lsn * 7 + r * 31) % 100 <= 50) AS acks, CASE WHEN count(*) FILTER ((lsn * 7 + r * 31) % 100 <= 50) >= 3 THEN 'OK' ELSE 'UNAVAILABLE' END AS outcome FROM w, r GROUP BY lsn""")
+def ack_wait(spark, d):
+    """Writes that three of five replicas have to acknowledge within 50 ms."""
+    w = log(spark, d).filter("lsn % 50 = 0").select("lsn", (F.col("lsn") * 1000).alias("t_ms"))
+    acks = w.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(4)))).select("replica", "lsn", (F.col("t_ms") + (F.col("lsn") * 7 + F.col("replica") * 31) % 100).alias("t_ms"))
+    return maintenance.write_outcomes(w, acks.unionByName(acks), 3, 50)
+
+
+@query(""", j AS (SELECT lsn, lsn % 4 AS writer, lsn % 30 + 1 AS records, (33 + strlen(key) + coalesce(strlen(value), 0)) * 40000::BIGINT AS bytes, row_number() OVER (PARTITION BY lsn % 4 ORDER BY lsn) AS i FROM m),
+p AS (WITH RECURSIVE p AS (SELECT writer, i, lsn, records, bytes, 0::BIGINT AS g, records AS n, bytes AS size FROM j WHERE i = 1
+ UNION ALL SELECT j.writer, j.i, j.lsn, j.records, j.bytes, p.g + CASE WHEN p.n + j.records > 64 OR p.size + j.bytes > 8388608 THEN 1 ELSE 0 END,
+ CASE WHEN p.n + j.records > 64 OR p.size + j.bytes > 8388608 THEN j.records ELSE p.n + j.records END, CASE WHEN p.n + j.records > 64 OR p.size + j.bytes > 8388608 THEN j.bytes ELSE p.size + j.bytes END
+ FROM p JOIN j ON j.writer = p.writer AND j.i = p.i + 1) FROM p)
+SELECT writer, lsn AS job, records, bytes, g AS group_id FROM p""")
 def greedy_packing(spark, d):
     m = log(spark, d)
     jobs = m.select((F.col("lsn") % 4).alias("writer"), F.col("lsn").alias("job"), (F.col("lsn") % 30 + 1).alias("records"), (S.encoded_length(F.col("key"), F.col("value")) * 40_000).cast("long").alias("bytes"))
@@ -223,7 +346,13 @@ def record_hashes(spark, d):
     return m.select("lsn", crc32c(key).alias("key_crc32c"), F.hex(crc64(key)).alias("key_crc64"), F.hex(record_hash(F.col("lsn"), F.col("op"), key, value, F.lit(0))).alias("record_hash"))
 
 
-@query()
+TWO64 = "18446744073709551616::UHUGEINT"
+
+
+@query(f""", a AS (SELECT lsn, ((42::UHUGEINT + (lsn::UHUGEINT * 11400714819323198485) % {TWO64}) % {TWO64})::UBIGINT AS x FROM m),
+b AS (SELECT lsn, ((xor(x, x >> 30)::UHUGEINT * 13787848793156543929) % {TWO64})::UBIGINT AS x FROM a),
+c AS (SELECT lsn, ((xor(x, x >> 27)::UHUGEINT * 10723151780598845931) % {TWO64})::UBIGINT AS x FROM b), e AS (SELECT lsn, xor(x, x >> 31)::HUGEINT AS x FROM c)
+SELECT lsn, (CASE WHEN x >= 9223372036854775808 THEN x - 18446744073709551616::HUGEINT ELSE x END)::BIGINT AS x FROM e""")
 def splitmix_keys(spark, d):
     return log(spark, d).select("lsn", splitmix64(F.lit(42).cast("long"), F.col("lsn")).alias("x"))
 
@@ -241,14 +370,82 @@ def level_overlap(spark, d):
     return maintenance.level_inputs(run_tables(spark, d)).select("id")
 
 
-@query("SELECT id, before FROM (SELECT id, min_key, lag(max_key) OVER (ORDER BY min_key, id) AS before FROM part WHERE level = 1 AND id IN (11, 12)) WHERE min_key <= before")
+@query("SELECT id, before FROM (SELECT id, min_key, lag(max_key) OVER (ORDER BY min_key, id) AS before FROM part WHERE level = 1) WHERE min_key <= before")
 def level_order_check(spark, d):
-    return maintenance.misplaced(run_tables(spark, d).filter("id in (11, 12)"))
+    return maintenance.misplaced(run_tables(spark, d))
 
 
-@query("SELECT id, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -id END, min_key, id)::INT AS place FROM part WHERE level = 0")
+@query("SELECT id, row_number() OVER (ORDER BY level, CASE WHEN level = 0 THEN -id END, min_key, id)::INT AS place FROM part")
 def table_order(spark, d):
-    return maintenance.table_order(run_tables(spark, d).filter("level = 0")).select("id", "place")
+    return maintenance.table_order(run_tables(spark, d)).select("id", "place")
+
+
+@query("SELECT count(*) AS tables, count(*) FILTER (level = 0) AS level0, sum(entry_count)::BIGINT AS entries, sum(entry_count * 100 + id)::BIGINT AS bytes FROM part")
+def manifest_totals(spark, d):
+    return maintenance.table_totals(run_tables(spark, d).withColumn("file_len", F.col("entry_count") * 100 + F.col("id")))
+
+
+@query(""", t AS (SELECT id % 15 AS id, CASE WHEN id % 4 = 0 THEN 'z' ELSE min_key END AS min_key, max_key, CASE WHEN id % 7 = 0 THEN 0 ELSE entry_count END AS entry_count FROM part)
+SELECT id, error FROM (SELECT id, CASE WHEN id <= 0 OR id >= 14 THEN 'id out of range' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' WHEN min_key > max_key THEN 'min above max' WHEN entry_count < 1 THEN 'no entries' END AS error FROM t) WHERE error IS NOT NULL""")
+def manifest_checks(spark, d):
+    """Manifest rows with ids, bounds and counts spoiled on purpose."""
+    id_ = F.col("id")
+    t = run_tables(spark, d).select((id_ % 15).alias("id"), "level", F.when(id_ % 4 == 0, "z").otherwise(F.col("min_key")).alias("min_key"), "max_key", F.when(id_ % 7 == 0, 0).otherwise(F.col("entry_count")).alias("entry_count"))
+    return maintenance.table_errors(t, 14)
+
+
+@query("SELECT id AS generation FROM part WHERE id <> 12")
+def stale_generations(spark, d):
+    return maintenance.stale(run_tables(spark, d).select(F.col("id").alias("generation")), spark.range(12, 13).withColumnRenamed("id", "generation"))
+
+
+@query(", s AS (SELECT (lsn - 1) // 500 AS g, min(lsn) AS first_lsn, max(lsn) AS last_lsn, count(*) * 100 AS bytes FROM m GROUP BY 1) SELECT first_lsn, last_lsn, bytes, last_lsn <= least((SELECT mark FROM cutoff), (SELECT max(lsn) // 2 FROM m)) AS reclaim FROM s")
+def reclaim_plan(spark, d):
+    """Segments of 500 that a snapshot at 95 % lets go, with a replica that is halfway."""
+    m = log(spark, d)
+    s = m.groupBy(F.floor((F.col("lsn") - 1) / 500).alias("g")).agg(F.min("lsn").alias("first_lsn"), F.max("lsn").alias("last_lsn"), (F.count("*") * 100).alias("bytes")).drop("g")
+    ends = m.agg(F.floor(F.max("lsn") * 95 / 100).alias("at"), F.floor(F.max("lsn") / 2).alias("slow"))
+    return maintenance.reclaim_plan(s.join(F.broadcast(ends)), F.col("at"), F.col("slow")).drop("at", "slow")
+
+
+@query("SELECT max(lsn) - (SELECT mark FROM cutoff) AS wal_entries, (SELECT mark FROM cutoff) AS snapshot_lsn, max(lsn) AS current_lsn FROM m")
+def log_gauges(spark, d):
+    x = log(spark, d).agg(F.max("lsn").alias("current_lsn")).withColumn("snapshot_lsn", F.floor(F.col("current_lsn") * 95 / 100))
+    return x.select((F.col("current_lsn") - F.col("snapshot_lsn")).alias("wal_entries"), "snapshot_lsn", "current_lsn")
+
+
+LAGS = ", lags AS (SELECT node_id, applied_lsn, connected, CASE WHEN connected AND applied_lsn <= (SELECT max(lsn) FROM m) THEN (SELECT max(lsn) FROM m) - applied_lsn END AS lag FROM prog)"
+
+
+def nodes(spark, d) -> DataFrame:
+    """Eight nodes, three of them unknown to the primary, one of them down."""
+    id_ = F.concat(F.lit("r"), F.col("id").cast("string"))
+    return spark.range(8).select(F.concat(F.lit("node "), id_).alias("name"), id_.alias("node_id"), (F.col("id") != 2).alias("up"))
+
+
+@query(LAGS + """ SELECT 'node r' || i AS name, 'r' || i AS node_id, applied_lsn, CASE WHEN i <> 2 AND connected THEN lag END AS lag,
+ CASE WHEN i <> 2 AND connected AND lag = 0 THEN 'synced' WHEN i <> 2 AND connected AND lag > 0 THEN 'lagging' ELSE 'disconnected' END AS state FROM (SELECT unnest(range(8)) AS i) LEFT JOIN lags ON node_id = 'r' || i""")
+def node_view(spark, d):
+    return maintenance.node_view(nodes(spark, d), replica_lag(spark, d))
+
+
+@query(", top AS (SELECT max(lsn) AS x FROM m) SELECT 'n' || c_custkey AS node_id FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 5 <> 0")
+def caught_up_replicas(spark, d):
+    """Every third node has lag 0 at the primary; every fifth has not applied that itself."""
+    c, id_ = table(spark, d, "customer"), F.concat(F.lit("n"), F.col("c_custkey").cast("string")).alias("node_id")
+    top = log(spark, d).agg(F.max("lsn").alias("top"))
+    told = c.select(id_, F.when(F.col("c_custkey") % 3 == 0, 0).otherwise(F.col("c_custkey")).alias("lag"))
+    own = c.join(F.broadcast(top)).select(id_, (F.col("top") - F.when(F.col("c_custkey") % 5 == 0, 1).otherwise(0)).alias("applied_lsn"), "top")
+    return maintenance.caught_up(told, own, F.col("top"))
+
+
+@query(""", a AS (SELECT user_id % 5 AS replica, event_id * 10 AS t_ms, event_id - event_id % 7 * 3 AS applied FROM events), s AS (SELECT replica, r * 100 AS t_ms, r * 10 + 20 AS durable FROM (SELECT unnest(range(5)) AS replica), (SELECT unnest(range(0, 100, 9)) AS r))
+SELECT s.replica, (SELECT min(a.t_ms) FROM a WHERE a.replica = s.replica AND a.t_ms >= s.t_ms AND applied >= durable) - s.t_ms AS catch_up_ms FROM s""")
+def catch_up(spark, d):
+    """How long replicas take after a restart until they have applied what was durable then."""
+    acks = table(spark, d, "events").select((F.col("user_id") % 5).alias("replica"), (F.col("event_id") * 10).alias("t_ms"), (F.col("event_id") - F.col("event_id") % 7 * 3).alias("applied_lsn"))
+    starts = spark.range(5).select(F.col("id").alias("replica"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(99).cast("long"), F.lit(9).cast("long"))).alias("r"))
+    return maintenance.catch_up(acks, starts.select("replica", (F.col("r") * 100).alias("t_ms"), (F.col("r") * 10 + 20).alias("durable")))
 
 
 @query("SELECT f.id FROM (SELECT unnest(range(8, 18)) AS id) f ANTI JOIN part ON f.id = part.id")
@@ -322,6 +519,11 @@ def upper_median(spark, d):
     return telemetry.upper_median(table(spark, d, "events"), ["event_type"], "value")
 
 
+@query("SELECT event_type, least, value AS median, most FROM (SELECT event_type, value, row_number() OVER w AS r, count(*) OVER p AS n, min(value) OVER p AS least, max(value) OVER p AS most FROM events WHERE value IS NOT NULL WINDOW p AS (PARTITION BY event_type), w AS (PARTITION BY event_type ORDER BY value)) WHERE r = n // 2 + 1")
+def median_range(spark, d):
+    return telemetry.median_range(table(spark, d, "events"), ["event_type"], "value")
+
+
 @query("SELECT mix, median(q)::DOUBLE AS median FROM bench GROUP BY mix")
 def mix_median(spark, d):
     return telemetry.mix_medians(table(spark, d, "lineitem").select(F.col("l_returnflag").alias("mix"), F.col("l_quantity").alias("q")), ["mix"], "q")
@@ -346,13 +548,13 @@ def series(spark, d) -> DataFrame:
 @query(f""", {SERIES}, l AS (SELECT *, lag(t_ms) OVER w AS t0, lag(value) OVER w AS v0 FROM s WINDOW w AS (PARTITION BY node ORDER BY t_ms))
 SELECT node, t_ms, (value - v0) * 1000.0::DOUBLE / (t_ms - t0) AS rate FROM l WHERE v0 IS NOT NULL AND value IS NOT NULL AND value >= v0 AND t_ms > t0""")
 def counter_rates(spark, d):
-    return telemetry.counter_rates(series(spark, d))
+    return telemetry.counter_rates(series(spark, d), step=5000)
 
 
 @query(f", {SERIES} SELECT q.node, q.t_ms, (SELECT value FROM s WHERE s.node = q.node AND s.t_ms = (SELECT max(t_ms) FROM s s2 WHERE s2.node = q.node AND s2.t_ms <= q.t_ms)) AS value FROM (SELECT 'n' || (c_custkey % 3) AS node, c_custkey * 5 AS t_ms FROM customer) q")
 def asof_value(spark, d):
     asked = table(spark, d, "customer").select(F.concat(F.lit("n"), (F.col("c_custkey") % 3).cast("string")).alias("node"), (F.col("c_custkey") * 5).alias("t_ms"))
-    return telemetry.as_of(asked, series(spark, d))
+    return telemetry.as_of(asked, series(spark, d), step=5000)
 
 
 @query(f", {SERIES} SELECT node, t_ms, value FROM s QUALIFY row_number() OVER (PARTITION BY node ORDER BY t_ms DESC) <= 300")
@@ -363,7 +565,7 @@ def last_n_samples(spark, d):
 @query(", s AS (SELECT node, event_id AS seq, event_id * 37 % 1009 AS t_ms FROM ns), x AS (SELECT *, max(t_ms) OVER (PARTITION BY node ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM s) SELECT node, seq, t_ms FROM x WHERE seen IS NULL OR t_ms > seen")
 def advancing_samples(spark, d):
     s = samples(spark, d).select("node", F.col("event_id").alias("seq"), (F.col("event_id") * 37 % 1009).alias("t_ms"))
-    return telemetry.advancing(s)
+    return telemetry.advancing(s, step=5000)
 
 
 @query("SELECT count(*) FILTER (event_type <> 'error') AS syncs, count(*) FILTER (event_type = 'error') AS errors, ((sum(ns) FILTER (event_type <> 'error') // count(*) FILTER (event_type <> 'error') + 999) // 1000)::BIGINT AS avg_us, ((max(ns) FILTER (event_type <> 'error') + 999) // 1000)::BIGINT AS max_us FROM ns")
@@ -420,9 +622,9 @@ def command_parse(spark, d):
     return parse_commands(log(spark, d).select("lsn", "key", line.alias("line")).drop("key")).drop("line")
 
 
-@query("SELECT lsn, [lpad(hex(i * 16), 8, '0') || '  ' || rtrim(regexp_replace(lower(hex(encode(substr(key, i * 16 + 1, 16)))), '(..)', '\\1 ', 'g')) FOR i IN range(0, (strlen(key) + 15) // 16)]::VARCHAR AS dump FROM m WHERE lsn <= 100".replace("\\\\", "\\"))
+@query("SELECT lsn, [lpad(hex(i * 16), 8, '0') || '  ' || rtrim(regexp_replace(lower(hex(encode(substr(key, i * 16 + 1, 16)))), '(..)', '\\1 ', 'g')) FOR i IN range(0, (strlen(key) + 15) // 16)]::VARCHAR AS dump FROM m".replace("\\\\", "\\"))
 def hexdump(spark, d):
-    x = log(spark, d).filter("lsn <= 100").select("lsn", S.hexdump(F.col("key").cast("binary")).alias("dump"))
+    x = log(spark, d).select("lsn", S.hexdump(F.col("key").cast("binary")).alias("dump"))
     return x.select("lsn", F.concat(F.lit("["), F.array_join("dump", ", "), F.lit("]")).alias("dump"))
 
 
@@ -437,15 +639,85 @@ def human_sizes(spark, d):
     return log(spark, d).select("lsn", S.human_bytes(F.col("lsn") * 1000 + 3).alias("size"))
 
 
+@query("SELECT lsn, ['OK', 'NOT_FOUND', 'BAD_REQUEST', 'NOT_PRIMARY', 'UNAVAILABLE', 'INTERNAL_ERROR', 'UNSUPPORTED_VERSION', 'RESOURCE_EXHAUSTED', 'OK_VOLATILE', 'QUEUED'][lsn % 12 + 1] AS status, ['UNAVAILABLE', 'NOT_PRIMARY', 'RESOURCE_EXHAUSTED', 'INTERNAL_ERROR', NULL][lsn % 5 + 1] AS failure FROM m")
+def status_names(spark, d):
+    error = F.get(F.array(*map(F.lit, ["io", "read-only replica", "resource exhausted", "format", None])), (F.col("lsn") % 5).cast("int"))
+    return log(spark, d).select("lsn", S.status_name(F.col("lsn") % 12).alias("status"), S.failure_status(error).alias("failure"))
+
+
+@query("SELECT json_object('key', key, 'value', value || chr(10) || chr(34) || chr(92))::VARCHAR AS row FROM live")
+def json_rows(spark, d):
+    """Pairs as JSON objects, with a line end, a quote and a backslash in the value."""
+    return latest_state(spark, d).select(F.to_json(F.struct("key", F.concat("value", F.lit("\n\"\\")).alias("value"))).alias("row"))
+
+
+@query("""SELECT lsn, n AS name, v AS value FROM (SELECT lsn, unnest(['key', 'a b', 'flag', 'odd', 'eq']) AS n, unnest([key, '+' || lsn, '', '%zz%', 'x=y']) AS v FROM m)""")
+def query_params(spark, d):
+    text = F.concat(F.lit("key="), F.replace(F.col("key"), F.lit(":"), F.lit("%3a")), F.lit("&&a+b=%2B"), F.col("lsn").cast("string"), F.lit("&flag&odd=%zz%&eq=x=y"))
+    return log(spark, d).select("lsn", F.explode(S.query_pairs(text)).alias("p")).select("lsn", "p.name", "p.value")
+
+
+@query("SELECT lsn, CASE WHEN coalesce(value, '') = '' THEN '-' ELSE lower(hex(encode(value))) END AS shown FROM m")
+def rendered_values(spark, d):
+    return log(spark, d).select("lsn", S.shown(F.coalesce("value", F.lit("")).cast("binary")).alias("shown"))
+
+
+@query("SELECT lsn, lsn % 4 IN (0, 2) AS printable, CASE lsn % 4 WHEN 0 THEN key WHEN 1 THEN key || chr(7) WHEN 2 THEN key || 'é' || chr(10) ELSE key || chr(65533) END AS text FROM m")
+def printable_values(spark, d):
+    """Plain text, text with a control character, with letters beyond ASCII, and bytes that are no text."""
+    k, n = F.col("key").cast("binary"), F.col("lsn") % 4
+    x = F.when(n == 0, k).when(n == 1, F.concat(k, F.lit(b"\x07"))).when(n == 2, F.concat(k, F.lit("é\n".encode()))).otherwise(F.concat(k, F.lit(b"\xff")))
+    return log(spark, d).select("lsn", x.alias("x")).select("lsn", F.coalesce(S.printable(F.col("x")), F.lit(False)).alias("printable"), S.lossy_text(F.col("x")).alias("text"))
+
+
+@query(f"SELECT lsn, left(repeat({LE.format('lsn')} || '00000000', 3), 40) AS hex FROM m")
+def generated_values(spark, d):
+    return log(spark, d).select("lsn", F.lower(F.hex(S.value_bytes(F.col("lsn"), 20))).alias("hex"))
+
+
+@query("""SELECT lsn, CASE WHEN us >= 100000 THEN printf('%.0f ms', us / 1000.0) WHEN us >= 10000 THEN printf('%.1f ms', us / 1000.0) ELSE printf('%.2f ms', us / 1000.0) END AS ms,
+ CASE WHEN s >= 3600 THEN (s // 3600) || 'h ' || lpad((s % 3600 // 60)::VARCHAR, 2, '0') || 'm' WHEN s >= 60 THEN (s // 60) || 'm ' || lpad((s % 60)::VARCHAR, 2, '0') || 's' ELSE s || 's' END AS uptime,
+ CASE WHEN r < 10 THEN printf('%.1f', r) ELSE format('{:,}', floor(r + 0.5)::BIGINT) END AS rate FROM (SELECT lsn, lsn * 37 AS us, lsn * 11 AS s, lsn * 0.75::DOUBLE AS r FROM m)""")
+def human_times(spark, d):
+    lsn = F.col("lsn")
+    return log(spark, d).select("lsn", S.human_ms(lsn * 37).alias("ms"), S.human_uptime(lsn * 11).alias("uptime"), S.human_rate(lsn * F.lit(0.75)).alias("rate"))
+
+
+@query("SELECT lsn, CASE WHEN lsn % 3 > 0 THEN md5(lsn::VARCHAR) END AS id FROM m")
+def node_ids(spark, d):
+    """Ids of 32 hex digits, through their bytes; those with a digit missing are none."""
+    text = F.upper(F.md5(F.col("lsn").cast("string")))
+    text = F.when(F.col("lsn") % 3 == 0, F.substring(text, 2, 31)).otherwise(text)
+    return log(spark, d).select("lsn", S.id_text(S.id_bytes(text)).alias("id"))
+
+
+@query("""SELECT lsn, CASE WHEN k < 9 THEN ['SET', 'GET', 'SCAN', 'SET', 'GET', 'SCAN', 'EXISTS', 'PING', 'SET'][k + 1] END AS verb,
+ CASE k WHEN 0 THEN x WHEN 1 THEN x WHEN 2 THEN '' END AS key, CASE k WHEN 0 THEN '' END AS value, CASE k WHEN 2 THEN x END AS end, CASE k WHEN 2 THEN 25 END AS limit,
+ [NULL, NULL, NULL, 'value is not hex', 'key is not hex', 'bad limit', 'wrong number of arguments', NULL, 'bad key length', 'unknown command'][k + 1] AS error FROM (SELECT lsn, (lsn % 10)::INT AS k, lower(hex(encode(key))) AS x FROM m)""")
+def hex_commands(spark, d):
+    from .sources.files import parse_hex_commands
+
+    x, k = F.upper(S.hex_encode(F.col("key").cast("binary"))), F.col("lsn") % 10
+    lines = [F.concat(F.lit(" set "), x, F.lit(" - ")), F.concat(F.lit("Get  "), x), F.concat(F.lit("scan * "), x, F.lit(" 25")), F.concat(F.lit("set "), x, F.lit(" 0x")), F.concat(F.lit("get a"), x)]
+    lines += [F.concat(F.lit("scan * * 0"), F.lit("")), F.lit("exists"), F.lit("PING"), F.concat(F.lit("set "), F.repeat(F.lit("6b"), 4097), F.lit(" 00")), F.concat(F.lit("jump "), x)]
+    line = F.get(F.array(*lines), k.cast("int"))
+    return parse_hex_commands(log(spark, d).select("lsn", line.alias("line"))).drop("line")
+
+
 # streaming
 
 
 @query("SELECT key, op, lsn FROM n")
 def stream_latest_state(spark, d):
-    """The newest change of each key by a stream over the change log's files."""
-    from .streaming.replicate import live_view
+    """The newest change of each key by a stream over the change log's files. Its state and its
+    output go to the folder that all executors share (spark.checkpoint.dir)."""
+    from .streaming.replicate import live_view, shared_folder
 
     e = table(spark, d, "events")
-    found = spark.readStream.schema(e.schema).option("pathGlobFilter", "events.parquet").option("recursiveFileLookup", True).parquet(d)
-    name = "live_" + next(tempfile._get_candidate_names())
-    return live_view(changelog.from_events(found), name).select("key", "op", "lsn")
+    # a folder of part files is streamed as it is, a single file by its name
+    whole = e.inputFiles()
+    single = len(whole) == 1 and whole[0].endswith("/events.parquet")
+    found = spark.readStream.schema(e.schema).option("recursiveFileLookup", True)
+    found = found.option("pathGlobFilter", "events.parquet").parquet(d) if single else found.parquet(f"{d}/events.parquet")
+    base = f"{shared_folder(spark)}/live-{uuid.uuid4().hex}"
+    return live_view(changelog.from_events(found), f"{base}/out", f"{base}/check").select("key", "op", "lsn")

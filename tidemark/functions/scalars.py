@@ -91,3 +91,81 @@ def cpu_percent(before: Column, after: Column, hz: float, seconds: Column) -> Co
 
 def change(before: Column, after: Column) -> Column:
     return F.when(before != 0, (after - before) / before)
+
+
+#: Names of request outcomes by their number.
+STATUSES = ["OK", "NOT_FOUND", "BAD_REQUEST", "NOT_PRIMARY", "UNAVAILABLE", "INTERNAL_ERROR", "UNSUPPORTED_VERSION", "RESOURCE_EXHAUSTED", "OK_VOLATILE", "QUEUED"]
+
+
+def status_name(code: Column) -> Column:
+    """Null for numbers that name none."""
+    return F.get(F.array(*map(F.lit, STATUSES)), code.cast("int"))
+
+
+def failure_status(error: Column) -> Column:
+    """The outcome that a failed write is told as."""
+    return (
+        F.when(error.isin("io", "fail closed", "corruption"), "UNAVAILABLE")
+        .when(error == "read-only replica", "NOT_PRIMARY")
+        .when(error == "mutation too large", "BAD_REQUEST")
+        .when(error == "resource exhausted", "RESOURCE_EXHAUSTED")
+        .when(error.isNotNull(), "INTERNAL_ERROR")
+    )
+
+
+def lossy_text(c: Column) -> Column:
+    """Bytes as UTF-8 text; what is none is replaced."""
+    return F.make_valid_utf8(c.cast("string"))
+
+
+def percent_decoded(text: Column) -> Column:
+    """+ is a space and %XX a byte; a broken escape stands for itself."""
+    return F.url_decode(F.regexp_replace(text, "%(?![0-9A-Fa-f]{2})", "%25"))
+
+
+def query_pairs(query: Column) -> Column:
+    """Pairs (name, value) of a URL query; a name without = has an empty value."""
+    parts = F.filter(F.split(query, "&"), lambda x: x != "")
+    value = lambda x: F.when(F.instr(x, "=") > 0, F.regexp_replace(x, "^[^=]*=", "")).otherwise("")
+    return F.transform(parts, lambda x: F.struct(percent_decoded(F.substring_index(x, "=", 1)).alias("name"), percent_decoded(value(x)).alias("value")))
+
+
+def value_bytes(operation: Column, length: int) -> Column:
+    """The number's 8 little-endian bytes, over and over."""
+    from .checksums import little
+
+    return F.substring(F.unhex(F.repeat(F.hex(little(operation, 8)), -(-length // 8))), 1, length)
+
+
+def id_text(c: Column) -> Column:
+    return F.when(F.octet_length(c) == 16, hex_encode(c))
+
+
+def id_bytes(text: Column) -> Column:
+    """16 bytes of 32 hex digits, else null."""
+    return F.when(text.rlike("^[0-9A-Fa-f]{32}$"), F.unhex(text))
+
+
+def _fixed(x: Column, digits: int) -> Column:
+    return F.regexp_replace(F.format_number(x, digits), ",", "")
+
+
+def human_ms(us: Column) -> Column:
+    ms = us / 1000
+    text = F.when(ms >= 100, _fixed(ms, 0)).when(ms >= 10, _fixed(ms, 1)).otherwise(_fixed(ms, 2))
+    return F.when(us.isNull(), "-").otherwise(F.concat(text, F.lit(" ms")))
+
+
+def human_uptime(seconds: Column) -> Column:
+    h, m, s = (F.floor(x).cast("long") for x in (seconds / 3600, seconds % 3600 / 60, seconds % 60))
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    return (
+        F.when(seconds.isNull(), "-")
+        .when(h > 0, F.concat(h.cast("string"), F.lit("h "), two(m), F.lit("m")))
+        .when(m > 0, F.concat(m.cast("string"), F.lit("m "), two(s), F.lit("s")))
+        .otherwise(F.concat(s.cast("string"), F.lit("s")))
+    )
+
+
+def human_rate(r: Column) -> Column:
+    return F.when(r.isNull(), "-").when(r < 10, _fixed(r, 1)).otherwise(F.format_number(F.floor(r + 0.5).cast("long"), 0))

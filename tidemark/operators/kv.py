@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.checksums import little
 from ..functions.scalars import MAX_LIMIT, PAGE_BYTES, pair_length
 
 
@@ -101,3 +102,27 @@ def same_relation(a: DataFrame, b: DataFrame) -> DataFrame:
     tagged = a.select("key", "value", F.lit(1).alias("side")).unionByName(b.select("key", "value", F.lit(-1).alias("side")))
     left = tagged.groupBy("key", "value").agg(F.sum("side").alias("d"))
     return left.agg(F.coalesce(F.sum(F.abs("d")), F.lit(0)).cast("long").alias("differing")).select("differing", (F.col("differing") == 0).alias("equal"))
+
+
+def not_ascending(rows: DataFrame, place: str = "place") -> DataFrame:
+    """Places whose key is not above that of the place before: rows of a run or block are numbered,
+    so neighbours meet by number and no window spans the run."""
+    before = rows.select((F.col(place) + 1).alias(place), F.col("key").alias("before"))
+    return rows.join(before, place).filter("key <= before").select(place, "key", "before")
+
+
+def state_errors(pairs: DataFrame, entry_count: int) -> DataFrame:
+    """One row: entries, keys that stand more than once, and what is wrong with a whole state."""
+    n = pairs.groupBy("key").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("entries"), F.count_if(F.col("n") > 1).alias("repeated"))
+    error = F.when(F.col("repeated") > 0, "duplicate key").when(F.col("entries") != entry_count, "entry count differs")
+    return n.select("entries", "repeated", error.alias("error"))
+
+
+def page_bytes(page: DataFrame) -> DataFrame:
+    """One row: a page (key, value, more) as bytes: count, more, and for each pair in key order the
+    lengths and the bytes. A page has at most 10,000 pairs and 1 MB."""
+    k, v = (F.col(c).cast("binary") for c in ("key", "value"))
+    pair = F.concat(little(F.octet_length(k), 4), little(F.octet_length(v), 4), k, v)
+    got = page.agg(F.count("*").alias("n"), F.max(F.col("more").cast("int")).alias("more"), F.array_sort(F.collect_list(F.struct(k.alias("key"), F.hex(pair).alias("pair")))).alias("pairs"))
+    body = F.unhex(F.array_join(F.transform("pairs", lambda x: x["pair"]), ""))
+    return got.select(F.concat(little(F.col("n"), 4), little(F.coalesce("more", F.lit(0)), 1), body).alias("page"))

@@ -43,3 +43,39 @@ def parse_commands(lines: DataFrame, text: str = "line") -> DataFrame:
     error = F.when(F.coalesce(t, F.lit("")) == "", "empty command").when(~known, "unknown command").when((n < least) | ((n > most) & (verb != "SET")), "wrong number of arguments").when(F.octet_length(key) > 4096, "key too long")
     has = verb.isin("SET", "GET", "DELETE", "EXISTS", "SCAN")
     return lines.select("*", F.when(known, verb).alias("verb"), F.when(error.isNull() & has, key).alias("key"), F.when(error.isNull() & verb.isin("SET", "SCAN"), value).alias("value"), error.alias("error"))
+
+
+def parse_hex_commands(lines: DataFrame, text: str = "line") -> DataFrame:
+    """As parse_commands, of lines whose keys and values are hex: (verb, key, value, end, limit,
+    error). `-` is an empty value and `*` an open bound; every verb has a fixed number of arguments."""
+    words = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda x: x != "")
+    verb, n = F.upper(F.get(words, F.lit(0))), F.size(words) - 1
+    needs = F.element_at(F.create_map(*[F.lit(x) for k, v in VERBS.items() for x in (k, 3 if k == "SCAN" else v[1])]), F.coalesce(verb, F.lit("")))
+    a, b, c = (F.get(words, F.lit(i)) for i in (1, 2, 3))
+    hexed = lambda x: x.rlike("^([0-9A-Fa-f]{2})*$")
+    keyed, scan, put = verb.isin("SET", "GET", "DELETE", "EXISTS"), verb == "SCAN", verb == "SET"
+    bad_key = lambda x: (F.length(x) == 0) | (F.length(x) > 8192)
+    low = scan & (a != "*")
+    high = scan & (b != "*")
+    error = (
+        F.when(verb.isNull(), "empty command")
+        .when(needs.isNull(), "unknown command")
+        .when(n != needs, "wrong number of arguments")
+        .when(keyed & ~hexed(a), "key is not hex")
+        .when(keyed & bad_key(a), "bad key length")
+        .when(put & (b != "-") & ~hexed(b), "value is not hex")
+        .when(put & (F.length(a) / 2 + F.when(b == "-", 0).otherwise(F.length(b) / 2) + 33 > 1_000_000), "record too large")
+        .when(scan & ~F.coalesce(c.rlike("^[0-9]{1,5}$") & c.try_cast("int").between(1, 10_000), F.lit(False)), "bad limit")
+        .when((low & ~hexed(a)) | (high & ~hexed(b)), "bound is not hex")
+        .when((low & bad_key(a)) | (high & bad_key(b)), "bad key length")
+    )
+    ok = error.isNull()
+    key = F.when(ok & keyed, F.lower(a)).when(ok & scan, F.when(a == "*", "").otherwise(F.lower(a)))
+    value = F.when(ok & put, F.when(b == "-", "").otherwise(F.lower(b)))
+    end = F.when(ok & high, F.lower(b))
+    return lines.select("*", F.when(needs.isNotNull(), verb).alias("verb"), key.alias("key"), value.alias("value"), end.alias("end"), F.when(ok & scan, c.try_cast("int")).alias("limit"), error.alias("error"))
+
+
+def append_csv(df: DataFrame, path: str) -> None:
+    """Add rows to a folder of CSV files, each of which has its header once."""
+    df.write.mode("append").option("header", True).csv(path)
