@@ -160,7 +160,7 @@ f AS (SELECT d.doc_id, source, len(w)::BIGINT AS n_words, length(array_to_string
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM f),
 h AS (SELECT source, count(*)::DOUBLE AS n, count(*) FILTER (base_failed)::DOUBLE AS f FROM b GROUP BY source),
 m AS (SELECT (sum(f) + 0.5) / (sum(n) + 1) AS m, var_pop(f / n) AS v, avg(1 / n) AS w FROM h),
-p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-6) - 1, 1.0), 1e6) AS k FROM m)
+p AS (SELECT m, least(greatest(m * (1 - m) / greatest(v - m * (1 - m) * w, 1e-6) - 1, 1.0), 1e6) AS k FROM m),
 q AS (SELECT source, (h.f + p.m * p.k) / (h.n + p.k) AS r, h.n + p.k + 1 AS size, p.m FROM h, p),
 v AS (SELECT source, r - 2.0 * sqrt(r * (1 - r) / size) > least(1.5 * m, 0.5) AS host_failed FROM q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_failed, NOT base_failed AND NOT host_failed AS kept
