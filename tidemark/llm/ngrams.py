@@ -13,6 +13,7 @@ The order is 2: what trigrams need on disk is over four times the input.
 from __future__ import annotations
 
 import io
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 END, BEGIN = U(0x6A09E667F3BCC909), U(0xBB67AE8584CAA73B)
 FLUSH = 4_000_000
-PART_BYTES = 32 << 20
+PART_BYTES = 64 << 20
 
 
 def pack(a: np.ndarray) -> bytes:
@@ -60,12 +61,18 @@ def save(uri: str, a: np.ndarray) -> None:
     write_bytes(uri, [out.getvalue()])
 
 
-_OPEN: dict[str, np.ndarray] = {}
+_OPEN: OrderedDict[str, np.ndarray] = OrderedDict()
+#: Files that a worker holds at once; beyond them the one not used for longest is let go.
+MOST_OPEN = 1024
 
 
 def load(uri: str) -> np.ndarray:
     """The array of a file of the model, mapped into memory where the shared folder is mounted."""
-    if uri not in _OPEN:
+    if uri in _OPEN:
+        _OPEN.move_to_end(uri)
+    else:
+        while len(_OPEN) >= MOST_OPEN:
+            _OPEN.popitem(last=False)
         path = local_path(uri)
         if path is None:
             with open_input(uri) as f:
@@ -324,12 +331,16 @@ def _store_figures(model):
 
 
 def train(df: DataFrame, text: str = "text") -> Model:
-    """Count the texts of df (null: empty) and store the model in the shared folder."""
+    """Count the texts of df (null: empty) and store the model in the shared folder.
+
+    The model has a part for each PART_BYTES of text, which are measured first, and at least one
+    for each shuffle partition. A text is worked on as a whole; only the text column is read,
+    whatever the names of others; an empty table gives a model that knows no word.
+    """
     spark = df.sparkSession
     docs = df.select(F.col(f"`{text}`").alias("text"))
-    read = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    slots = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(slots, -(-read // PART_BYTES)) if read < 1 << 60 else slots
+    read = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-read // PART_BYTES))
     base = new_dir(spark, "ngrams")
     words = docs.mapInArrow(_count_words(parts), "part int, h binary, n binary").repartition(parts, "part").sortWithinPartitions("part")
     found = {r.part: r for r in words.mapInArrow(_store_words(base), "part int, distinct long, total long").collect()}

@@ -24,7 +24,8 @@ KEEP = 2_000_000
 
 
 def load_pieces(path: str) -> dict[str, float]:
-    """Pieces of a sentencepiece model with log probabilities by Zipf's law of their rank.
+    """Pieces of a sentencepiece model with log probabilities by Zipf's law of their rank: tokenizers
+    are not trained here, and the public vocabularies at hand have ranks and no unigram scores.
 
     The model's byte pieces stand in for characters that no piece has.
     """
@@ -108,7 +109,8 @@ def token_counts(df: DataFrame, pieces: dict[str, float], text: str = "text", ca
     """(row, n_words, n_tokens) for each row of df; row has the columns to carry, all by default.
 
     pieces (a fixed vocabulary, whose size does not follow the data) is broadcast. Null and empty
-    texts have 0 tokens; equal rows count each; an empty table gives an empty one.
+    texts have 0 tokens; equal rows count each; an empty table gives an empty one; the columns of
+    df stand in the struct row, whatever their names; a text is counted whole, by one worker.
     """
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
     shared = df.sparkSession.sparkContext.broadcast(pieces)
