@@ -1,7 +1,7 @@
 """Removal of word windows that occur more than once, by level-wise doubling.
 
 Levels have windows of b, 2b, 4b, ... words up to the largest within the window of w words; b is
-a power of two, a quarter of w at most. On the first level those windows of b words are taken up
+a power of two, half of w at most. On the first level those windows of b words are taken up
 that are the leftmost minimum (by hash), the anchor, of some window of w words, so that equal
 windows of w words take up equal ones. On each level the windows that occur once end, and with
 them all windows of w words they were taken up for; the others are extended to twice the length,
@@ -31,7 +31,7 @@ FLUSH = 4_000_000
 
 def doublings(window: int, base: int | None = None) -> list[int]:
     """Lengths of the levels: base, twice that, and so on within the window."""
-    n = base or max(1, 1 << max(0, (window // 4).bit_length() - 1))
+    n = base or max(1, 1 << max(0, (window // 2).bit_length() - 1))
     out = [n]
     while 2 * out[-1] <= window:
         out.append(2 * out[-1])
@@ -107,7 +107,9 @@ def _level(window: int, base: int, before: int | None, length: int):
             first, of, again = _groups(k)
             seen = again[of].astype(np.int8)  # 1: known to be repeated, key not needed
             seen[first[again]] = 2  # stands for its key, and is known to be repeated
-            yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(seen)], ["k", "rk", "p", "f"])
+            # known rows are dealt out by their text and place, the others meet by their key
+            s = np.where(seen == 1, pair(r.view(np.uint64), p.astype(np.uint64)), k)
+            yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(r), pa.array(p.astype(np.int32)), pa.array(seen)], ["s", "rk", "p", "f"])
 
         for b in batches:
             rk = b.column("rk").to_numpy()
@@ -144,11 +146,10 @@ def _known(flag: np.ndarray, *keys: np.ndarray) -> np.ndarray:
 
 def _survivors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in whole_groups(batches, "s"):
-        k, f = t.column("k").to_numpy(), t.column("f").to_numpy()
+        k, f = t.column("s").to_numpy(), t.column("f").to_numpy()
         keep = (f > 0).copy()
-        rest = np.flatnonzero(f != 1)  # rows known before stand under a key of their own
+        rest = np.flatnonzero(f != 1)  # in order by key; rows known before need none
         if len(rest):
-            rest = rest[np.argsort(k[rest], kind="stable")]
             keep[rest] |= _known(f[rest] == 2, k[rest])
         t = t.select(["rk", "p"]).filter(pa.array(keep))
         yield from t.to_batches()
@@ -187,8 +188,10 @@ def _last(window: int, base: int, length: int):
                 ],
                 ["k", "rk", "p", "h", "f", "m"],
             )
-            # what is known is sent as bits over 32 window starts
-            yield _bits(r[known], s[known] - o[known])
+            # what is known is sent as bits over 32 window starts, once for all equal rows
+            r, p = r[known], s[known] - o[known]
+            order = np.lexsort((p, r))
+            yield _bits(r[order], p[order])
 
         for b in batches:
             rk = b.column("rk").to_numpy()
@@ -315,9 +318,7 @@ def remove_repeated_windows(df: DataFrame, window: int = 35, text: str = "text",
     sizes = doublings(window, base)
 
     def level(rows: DataFrame, before: int | None, length: int) -> DataFrame:
-        found = rows.mapInArrow(_level(window, sizes[0], before, length), "k long, rk long, p int, f byte")
-        # s deals known rows out by their text, the others by their key
-        found = found.withColumn("s", F.when(F.col("f") == 1, F.xxhash64("rk", "p")).otherwise(F.col("k")))
+        found = rows.mapInArrow(_level(window, sizes[0], before, length), "s long, rk long, p int, f byte")
         found = found.repartition("s").sortWithinPartitions("s").mapInArrow(_survivors, "rk long, p int")
         return found.groupBy("rk").agg(F.collect_set("p").alias("alive"))
 
@@ -328,9 +329,8 @@ def remove_repeated_windows(df: DataFrame, window: int = 35, text: str = "text",
     last = dealt.join(alive, "rk").mapInArrow(_last(window, sizes[0], sizes[-1]), "k long, rk long, p int, h binary, f binary, m long")
     last = last.withColumn("s", F.coalesce("k", F.xxhash64("rk", "p")))
     hits = last.repartition("s").sortWithinPartitions("s").mapInArrow(_repeated(step), "rk long, p int, m long")
-    # equal rows find the same: once for each place, before it is collected
-    hits = hits.groupBy("rk", "p").agg(F.bit_or("m").alias("m"))
-    hits = hits.groupBy("rk").agg(F.collect_list((F.col("p").cast("long") * F.lit(1 << 32)) + F.col("m")).alias("hits"))
+    # equal rows stand in one task and find the same, which a set has once
+    hits = hits.groupBy("rk").agg(F.collect_set((F.col("p").cast("long") * F.lit(1 << 32)) + F.col("m")).alias("hits"))
     out = dealt.join(hits, "rk", "left").select("row", F.coalesce("hits", F.array().cast("array<bigint>")).alias("hits"))
     schema = T.StructType([T.StructField("row", src.schema["row"].dataType), *T.StructType.fromDDL(OUT_DDL).fields])
     out = out.mapInArrow(_remove(window), schema)
