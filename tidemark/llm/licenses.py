@@ -115,20 +115,24 @@ def template_weights(spark) -> tuple[DataFrame, DataFrame, float]:
     return w, idf, other
 
 
-def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, file_share: float = 0.5, least_whole: float = 0.9) -> DataFrame:
-    """(row, path, own_license, own_score, license_dir, license) for each row of df.
+def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least: float = 0.6, file_share: float = 0.5, least_whole: float = 0.9, carry: list[str] | None = None) -> DataFrame:
+    """(row, path, own_license, own_score, license_dir, license) for each row of df; row has the
+    columns to carry, all by default, whatever their names.
 
     own_license is the template nearest to any unit of the text, with a cosine of `least` or more
     (ties: the smaller id), or that of an SPDX tag. A text as a whole has to reach `least_whole`.
     A row is a licence file if its name says so or licence units hold `file_share` of its
     characters: lines and tags, or paragraphs of `least_whole`, or a long licence. license is the own one, else that of the nearest directory
     above. Null or empty texts and paths have none of their own; a null path inherits nothing;
-    equal rows get equal results; an empty table gives an empty one.
+    equal rows get equal results; an empty table gives an empty one. A text is scanned whole.
+    Every row has a key of its own path and text, cued or not, so joins meet no null keys.
     """
     spark = df.sparkSession
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(f"`{path}`").alias("path"))
-    body = F.coalesce(F.col(f"row.`{text}`"), F.lit(""))
-    cued = rows.filter(body.rlike(CUE)).select(F.xxhash64("path", body).alias("rk"), F.length(body).alias("chars"), "path", body.alias("body")).dropDuplicates(["rk"])
+    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    told = F.coalesce(F.concat(F.lit("p"), F.col(f"`{path}`")), F.lit("n"))
+    rk = F.unhex(F.md5(F.concat(told, F.lit("\0"), body)))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(f"`{path}`").alias("path"), rk.alias("rk"))
+    cued = df.filter(body.rlike(CUE)).select(rk.alias("rk"), F.length(body).alias("chars"), F.col(f"`{path}`").alias("path"), body.alias("body")).dropDuplicates(["rk"])
     with_cue = lambda x: F.filter(x, lambda u: u.rlike(CUE + "|(?i)neither the name"))
     kinds = {"line": F.filter(units(F.col("body")), lambda u: u.rlike(CUE)), **{k: with_cue(x) for k, x in joined_units(F.col("body"))}}
     lists = cued.select("rk", *[x.alias(k) for k, x in kinds.items()])
@@ -169,6 +173,7 @@ def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least:
     chain = F.when(F.col("dir") == "", F.array(F.lit(""))).otherwise(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))))
     near = dirs.select("dir", F.posexplode(chain).alias("depth", "license_dir")).join(grants, "license_dir").groupBy("dir").agg(F.max(F.struct("depth", "license_dir", "granted")).alias("n"))
     near = near.select("dir", F.col("n.license_dir").alias("license_dir"), F.col("n.granted").alias("granted"))
-    out = rows.withColumn("rk", F.when(body.rlike(CUE), F.xxhash64("path", body))).withColumn("dir", above(F.col("path")))
+    # no directory has such a name, and rows without a path don't meet in one task
+    out = rows.withColumn("dir", F.coalesce(above(F.col("path")), F.concat(F.lit("\0"), F.hex("rk"))))
     out = out.join(own, "rk", "left").join(near, "dir", "left")
     return out.select("row", "path", "own_license", "own_score", F.when(F.col("own_license").isNull(), F.col("license_dir")).alias("license_dir"), F.coalesce("own_license", "granted").alias("license"))

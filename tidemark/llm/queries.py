@@ -35,7 +35,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, path (source/lang/doc_id.txt), own_license, own_score, license_dir, license."""
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
-    out = scan_licenses(docs.select("doc_id", "text", path.alias("path")))
+    out = scan_licenses(docs.select("doc_id", "text", path.alias("path")), carry=["doc_id"])
     return out.select(F.col("row.doc_id").alias("doc_id"), "path", "own_license", "own_score", "license_dir", "license")
 
 
