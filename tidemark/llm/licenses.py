@@ -133,6 +133,8 @@ def scan_licenses(df: DataFrame, text: str = "text", path: str = "path", least:
     rk = F.unhex(F.md5(F.concat(told, F.lit("\0"), body)))
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in carry or df.columns]).alias("row"), F.col(f"`{path}`").alias("path"), rk.alias("rk"))
     cued = df.filter(body.rlike(CUE)).select(rk.alias("rk"), F.length(body).alias("chars"), F.col(f"`{path}`").alias("path"), body.alias("body")).dropDuplicates(["rk"])
+    # read for each kind of unit, for tags and for files; dealt by key, so that sums and joins by key need no shuffle of terms
+    cued = cut(cued, "cued").repartition("rk")
     with_cue = lambda x: F.filter(x, lambda u: u.rlike(CUE + "|(?i)neither the name"))
     kinds = {"line": F.filter(units(F.col("body")), lambda u: u.rlike(CUE)), **{k: with_cue(x) for k, x in joined_units(F.col("body"))}}
     lists = cued.select("rk", *[x.alias(k) for k, x in kinds.items()])
