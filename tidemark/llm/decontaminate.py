@@ -7,8 +7,8 @@ where slots are placeholders of their kind, and as they are. Template windows of
 of benchmark items by hash. Hits of an item on one alignment (text place minus item place) form
 runs; a run is a leak if it covers enough of the item, and its slots are consistent: the same
 filling of the item always became the same filling in the text, and differing ones differing.
-A run of which over a fifth is filled anew must be literals by half: mere lists of numbers or
-names fit each other anyhow.
+A run of which over a fifth is filled anew must be literals by half, and a template window holds
+a literal: mere lists of numbers or names fit each other anyhow, so they meet as they are only.
 
 If no alignment is enough by itself, runs of all of them are joined in order: what counts is the
 longest chain of places that rise in both the item and the text. For this, windows are also hashed
@@ -103,13 +103,20 @@ def _hash_words(words: list[str]) -> np.ndarray:
 _FIXED = {"units": _hash_words(UNITS), "numbers": _hash_words(NUMBER_WORDS)}
 
 
+def _with_literal(kind: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
+    """Those of the windows of n places from p that are not slots only."""
+    literals = np.concatenate(([0], np.cumsum(kind == 0)))
+    return p[literals[p + n] > literals[p]]
+
+
 def _windows(t: Tokens, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of windows within one text, as templates and as they are."""
     if len(t.h) < n:
         return np.empty(0, np.int64), np.empty(0, U)
     end = np.repeat(t.at[1:], t.counts)
     p = np.flatnonzero(np.arange(len(t.h) - n + 1) + n <= end[: len(t.h) - n + 1])
-    return np.concatenate([p, p]), np.concatenate([window_hashes(t.template, n)[p], mix(window_hashes(t.h, n)[p])])
+    q = _with_literal(t.kind, p, n)
+    return np.concatenate([q, p]), np.concatenate([window_hashes(t.template, n)[q], mix(window_hashes(t.h, n)[p])])
 
 
 def _folded(t: Tokens, n: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,7 +125,7 @@ def _folded(t: Tokens, n: int, short: list[int]) -> tuple[np.ndarray, np.ndarray
     parts = [(np.empty(0, np.int64), np.empty(0, U))]
     for m in (*short, n):
         if len(h) >= m:
-            p = np.flatnonzero(np.arange(len(h) - m + 1) + m <= ends[: len(h) - m + 1])
+            p = _with_literal(t.kind[t.groups[:-1]], np.flatnonzero(np.arange(len(h) - m + 1) + m <= ends[: len(h) - m + 1]), m)
             parts.append((p, pair(window_hashes(h, m)[p], np.full(len(p), m, U))))
     return np.concatenate([p for p, _ in parts]), np.concatenate([x for _, x in parts])
 
@@ -135,7 +142,7 @@ class Items:
         p, h = _windows(t, window)
         # items shorter than a window are one window of their length
         self.short = sorted({int(n) for n in self.counts if 0 < n < window})
-        more = [(np.concatenate([q, q]), np.concatenate([pair(_short(t.template, q, n), np.full(len(q), n, U)), mix(pair(_short(t.h, q, n), np.full(len(q), n, U)))])) for n in self.short for q in [self.at[:-1][self.counts == n]]]
+        more = [_short_windows(t, self.at[:-1][self.counts == n], n) for n in self.short]
         p, h = np.concatenate([p, *(x for x, _ in more)]), np.concatenate([h, *(x for _, x in more)])
         keep = np.unique(np.stack([h, p.astype(U)], 1), axis=0) if len(h) else np.empty((0, 2), U)
         self.keys, self.places = keep[:, 0].copy(), keep[:, 1].astype(np.int64)
@@ -163,6 +170,13 @@ def _short(h: np.ndarray, p: np.ndarray, n: int) -> np.ndarray:
     return x
 
 
+def _short_windows(t: Tokens, p: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """As _windows, of fewer places from p; their number is part of the hash."""
+    q = _with_literal(t.kind, p, n)
+    named = lambda h, at: pair(_short(h, at, n), np.full(len(at), n, U))
+    return np.concatenate([q, p]), np.concatenate([named(t.template, q), mix(named(t.h, p))])
+
+
 def _hits(t: Tokens, window: int, short: list[int]) -> tuple[np.ndarray, np.ndarray]:
     p, h = _windows(t, window)
     parts = [(p, h)]
@@ -170,7 +184,7 @@ def _hits(t: Tokens, window: int, short: list[int]) -> tuple[np.ndarray, np.ndar
         end = np.repeat(t.at[1:], t.counts)
         if len(t.h) >= n:
             q = np.flatnonzero(np.arange(len(t.h) - n + 1) + n <= end[: len(t.h) - n + 1])
-            parts.append((np.concatenate([q, q]), np.concatenate([pair(_short(t.template, q, n), np.full(len(q), n, U)), mix(pair(_short(t.h, q, n), np.full(len(q), n, U)))])))
+            parts.append(_short_windows(t, q, n))
     return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
 
 
